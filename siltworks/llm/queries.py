@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html_extract, toxicity
 from .chat_format import as_chains, chat_format, read_back
 from .common import table
 from .decontamination import decontamination
@@ -33,12 +34,23 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "expected")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extracted(pages, html_extract.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op6_html_extraction, op8_toxicity, op10_decontamination)}
 
 
 #: op1's result but for formatted_chars can be said in SQL; the template's length is this template's own.
