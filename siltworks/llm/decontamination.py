@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, whole
+from .common import whole
 
-#: Fixed masks over `SPAN` tokens: 1 is read, 0 is ignored. Each ignores other places, so that a substituted token spoils few of them.
+#: Fixed masks over 12 tokens: 1 is read, 0 is ignored. All read the first and the last and as many in all; each ignores other places, so that a substituted token spoils few of them.
 MASKS = ("110110101101", "111010010111", "101101110011")
-SPAN = 12
+#: Benchmark items are matched in pieces of so many tokens that overlap by so many, and broadcast in blocks of about so many seeds.
+PIECE, PIECE_OVERLAP, BLOCK_SEEDS = 96, 32, 100_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -18,44 +21,65 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def seeded(rows: DataFrame, keep: list[str], tokens: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """One row per place and mask: keep, at (from 0), seed. Only rows with as many tokens as a mask spans have places."""
-    span = len(masks[0])
-    places = rows.filter(F.size(tokens) >= span).select(*keep, tokens, F.explode(F.sequence(F.lit(0), F.size(tokens) - span)).alias("at"))
-    key = [F.xxhash64(F.lit(m), *[F.get(F.col(tokens), F.col("at") + i) for i, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(masks)]
-    return places.select(*keep, tokens, "at", F.explode(F.array(*key)).alias("seed"))
+def places(rows: DataFrame, keep: list[str], tokens: str, span: int) -> DataFrame:
+    """One row per place of the masks: keep, tokens, at (from 0), ends: a hash of the two outer tokens, which every mask reads."""
+    all_places = F.when(F.size(tokens) >= span, F.sequence(F.lit(0), F.size(tokens) - span))  # null, and so no row, for short texts
+    at = rows.select(*keep, tokens, F.explode(all_places).alias("at"))
+    return at.withColumn("ends", F.xxhash64(F.get(tokens, F.col("at")), F.get(tokens, F.col("at") + (span - 1))))
+
+
+def seeded(at: DataFrame, tokens: str, masks: tuple[str, ...]) -> DataFrame:
+    """places() times masks, with seed: the hash of the tokens that the mask reads, and of the mask."""
+    reads = F.array(*[F.array(*[F.lit(i) for i, c in enumerate(m) if c == "1"]) for m in masks])
+    by_mask = at.select("*", F.posexplode(reads).alias("mask", "reads"))
+    read = [F.get(tokens, F.col("at") + F.get("reads", F.lit(k))) for k in range(masks[0].count("1"))]
+    return by_mask.withColumn("seed", F.xxhash64("mask", *read)).drop("mask", "reads", "ends")
 
 
-def best_window(doc: Column, item: Column, shift: Column, window: int) -> Column:
-    """The most tokens, in units of the window's length, in which item and document agree in a window of the alignment.
+def agreement(aligned: DataFrame, window: int) -> DataFrame:
+    """aligned (..., part, item, skip) with agreement: the largest share of equal tokens in a window of item and part.
 
-    Item token j lies on document token shift + j. The window is `window` tokens, or the whole item if that is shorter.
+    Item token j lies on token j + skip of part. A window is `window` tokens, or the whole item if that is shorter.
     """
-    width = F.least(F.lit(window), F.size(item))
-    same = F.transform(item, lambda t, j: F.when(F.get(doc, j + shift) == t, 1).otherwise(0))
-    sums = F.aggregate(same, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    widest = F.array_max(F.transform(F.sequence(width, F.size(item)), lambda i: F.get(sums, i) - F.get(sums, i - width)))
-    return widest / width
+    equal = F.transform("item", lambda t, j: F.when(F.get("part", j + F.col("skip")) == t, 1).otherwise(0))
+    width = F.least(F.lit(window), F.size("same"))
+    sums = F.transform(F.sequence(F.lit(1), F.size("same") - width + 1), lambda i: F.aggregate(F.slice("same", i, width), F.lit(0), lambda a, x: a + x))
+    # `same` is a column of its own, so that it is computed once and not in every window.
+    return aligned.withColumn("same", equal).withColumn("agreement", F.array_max(sums) / width).drop("same")
+
+
+def _hits(texts: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """(doc_id, doc, at, item_id, item, item_at): equal seeds of texts and of a block of benchmark pieces, which is small enough to broadcast."""
+    at = places(items, ["item_id"], "item", len(masks[0]))
+    seeds = F.broadcast(seeded(at, "item", masks).withColumnRenamed("at", "item_at"))
+    # Few places have the outer tokens of any seed, so the masks are read at few places only.
+    near = places(texts, ["doc_id"], "doc", len(masks[0])).join(F.broadcast(at.select("ends").distinct()), "ends", "left_semi")
+    return seeded(near, "doc", masks).join(seeds, "seed")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 12, similarity: float = 0.8, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """(doc_id, item_id, shift, agreement): every alignment of a benchmark item with a document that verifies.
 
     A hit is a place in a document and one in an item with equal hashes under one mask. It fixes an alignment, and this is verified: some
-    window of `window` tokens (or the whole item, if shorter) must agree in at least `similarity` of its tokens. Benchmark seeds are
-    broadcast if their count is within the bound, and joined by shuffle beyond it, where adaptive execution splits frequent seeds.
+    window of `window` tokens (or the whole item, if shorter) must agree in at least `similarity` of its tokens. Items longer than PIECE
+    tokens are cut into pieces that overlap by more than a window. The benchmark is the stated query set: its seeds are counted and dealt
+    into blocks of about BLOCK_SEEDS, and each block is broadcast against all documents.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(whole(item_text_col)).alias("item")).filter(F.size("item") >= len(masks[0]))
-    seeds = seeded(items, ["item_id"], "item", masks).select("item_id", "item", F.col("at").alias("item_at"), "seed")
-    size = items.agg(F.sum(F.size("item")), F.sum(F.size("item") * F.size("item"))).first()
-    rows = (size[0] or 0) * len(masks)
+    span = len(masks[0])
+    tokens = token_hashes(whole(item_text_col))
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens.alias("t")).filter(F.size("t") >= span)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("t") - PIECE_OVERLAP - 1, F.lit(0)), F.lit(PIECE - PIECE_OVERLAP))
+    items = items.select("item_id", F.explode(F.transform(starts, lambda o: F.slice("t", o + 1, PIECE))).alias("item"))
+    n = items.agg(F.sum(F.size("item"))).first()[0] or 0
+    blocks = max(1, -(-n * len(masks) // BLOCK_SEEDS))
     texts = docs.select(F.col(id_col).alias("doc_id"), token_hashes(whole(text_col)).alias("doc"))
-    hits = seeded(texts, ["doc_id"], "doc", masks).join(small(seeds, rows if (size[1] or 0) * len(masks) <= 4_000_000 else rows + (1 << 40)), "seed")
+    found = [_hits(texts, items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k), masks) for k in range(blocks)]
+    hits = reduce(DataFrame.unionByName, found)
     shift = F.col("at") - F.col("item_at")
     # The stretch of the document that the item can lie on, with the shift into that stretch.
     stretch = F.slice("doc", F.greatest(shift, F.lit(0)) + 1, F.size("item"))
-    hits = hits.select("doc_id", "item_id", "item", shift.alias("shift"), stretch.alias("part"))
-    checked = hits.select("doc_id", "item_id", "shift", best_window(F.col("part"), F.col("item"), F.least(F.col("shift"), F.lit(0)), window).alias("agreement"))
+    hits = hits.select("doc_id", "item_id", "item", shift.alias("shift"), F.least(shift, F.lit(0)).alias("skip"), stretch.alias("part"))
+    checked = agreement(hits, window)
     return checked.groupBy("doc_id", "item_id", "shift").agg(F.max("agreement").alias("agreement")).filter(F.col("agreement") >= similarity)
 
 
