@@ -13,6 +13,7 @@ from .common import table
 from .decontamination import decontamination
 from .exact_dedup import exact_dedup
 from .mixing import mixed
+from .suffix_trees import substring_dedup
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(pages, html_extract.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -50,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op6_html_extraction, op8_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op6_html_extraction, op7_substring_dedup, op8_toxicity, op10_decontamination)}
 
 
 #: op1's result but for formatted_chars can be said in SQL; the template's length is this template's own.
