@@ -12,6 +12,7 @@ from .chat_format import as_chains, chat_format, read_back
 from .common import table
 from .decontamination import decontamination
 from .exact_dedup import exact_dedup
+from .induced_sort import byte_dedup
 from .mixing import mixed
 from .suffix_trees import substring_dedup
 
@@ -35,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "expected")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extract.extracted(pages, html_extract.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
@@ -55,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op6_html_extraction, op7_substring_dedup, op8_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op5_suffix_array_dedup, op6_html_extraction, op7_substring_dedup, op8_toxicity, op10_decontamination)}
 
 
 #: op1's result but for formatted_chars can be said in SQL; the template's length is this template's own.
