@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import cut, small, whole
 
 #: Fixed masks over 12 tokens: 1 is read, 0 is ignored. All read the first and the last and as many in all; each ignores other places, so that a substituted token spoils few of them.
 MASKS = ("110110101101", "111010010111", "101101110011")
@@ -94,3 +94,9 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     rows = ids.select("doc_id", F.lit(None).cast(found.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("double").alias("agreement")).unionByName(found)
     out = rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("agreement").alias("agreement"))
     return out.select("doc_id", "items", F.coalesce("agreement", F.lit(0.0)).alias("agreement"), F.col("agreement").isNotNull().alias("contaminated"))
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that hold no benchmark item, with all their columns. Rows that share an id are one document here."""
+    gone = cut(overlaps(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")

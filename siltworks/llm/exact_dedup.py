@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, spaced, whole
+from .common import cut, small, spaced, whole
 
 
 def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,9 +50,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"))
-    marked = docs.withColumns({"__sha": F.unhex(F.sha2(spaced(whole(text_col)), 256))})
-    joined = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")), "left_semi")
-    # Repeats of a row share id and digest; one of them stays.
-    return joined.withColumn("__turn", F.row_number().over(W.partitionBy(id_col, "__sha").orderBy(F.lit(1)))).filter("__turn = 1").drop("__turn", "__sha")
+    """The rows of docs that stay, with all their columns.
+
+    What goes is joined to the rows, not what stays, so that texts needn't be shuffled as long as the counted list is small.
+    """
+    judged = cut(exact_dedup(docs, id_col, text_col).filter(~F.col("kept") | (F.col("group_size") > 1)).select(F.col("doc_id").alias("__id"), "keep_id", "kept", F.unhex("text_sha256").alias("__digest")))
+    other = judged.filter(~F.col("__id").eqNullSafe(F.col("keep_id"))).select("__id", "__digest")
+    sha = F.unhex(F.sha2(spaced(whole(text_col)), 256))
+    out = docs.join(small(other, other.count()), F.col(id_col).eqNullSafe(F.col("__id")) & (sha == F.col("__digest")), "left_anti")
+    if judged.filter("not kept").join(other, ["__id", "__digest"], "left_anti").isEmpty():
+        return out
+    # Some rows repeat both id and text; one of each stays.
+    return out.withColumn("__sha", sha).withColumn("__turn", F.row_number().over(W.partitionBy(id_col, "__sha").orderBy(F.lit(1)))).filter("__turn = 1").drop("__turn", "__sha")

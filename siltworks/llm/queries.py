@@ -14,6 +14,7 @@ from .decontamination import decontamination
 from .exact_dedup import exact_dedup
 from .induced_sort import byte_dedup
 from .mixing import mixed
+from .near_dedup import near_dedup
 from .suffix_trees import substring_dedup
 
 
@@ -55,12 +56,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op5_suffix_array_dedup, op6_html_extraction, op7_substring_dedup, op8_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op5_suffix_array_dedup, op6_html_extraction, op7_substring_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_decontamination)}
 
 
 #: op1's result but for formatted_chars can be said in SQL; the template's length is this template's own.
