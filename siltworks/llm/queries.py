@@ -15,6 +15,7 @@ from .exact_dedup import exact_dedup
 from .induced_sort import byte_dedup
 from .mixing import mixed
 from .near_dedup import near_dedup
+from .oracles import oracle_sql as oracle_sql
 from .suffix_trees import substring_dedup
 
 
@@ -61,20 +62,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), ","))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op5_suffix_array_dedup, op6_html_extraction, op7_substring_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_decontamination)}
-
-
-#: op1's result but for formatted_chars can be said in SQL; the template's length is this template's own.
-_OP3 = """
-with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) as h from documents),
-g as (select h, min(doc_id) as keep_id, count(*) as n from t group by h)
-select t.doc_id as doc_id, g.keep_id as keep_id, g.n as group_size, t.doc_id = g.keep_id as kept, t.h as text_sha256 from t join g using (h)
-"""
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _OP3}
