@@ -166,7 +166,8 @@ def judged(found: DataFrame, earlier: bool) -> DataFrame:
     if earlier:
         sure, open_ = F.col("least") < F.col("first_id"), several & (F.col("least") == F.col("first_id"))
     else:
-        sure, open_ = F.col("same") > 1, several & ((F.col("same") == 1) | (F.col("turn") == 1))
+        # `turn` is always 1 at least; naming it gives both uses of these rows the same columns, and so one shuffle.
+        sure, open_ = (F.col("same") > 1) & (F.col("turn") > 0), several & ((F.col("same") == 1) | (F.col("turn") == 1))
     return rows.select("key", "first_id", "gram", "place", "high", "n", sure.alias("sure"), open_.alias("open")).filter("sure or open")
 
 
@@ -217,13 +218,12 @@ def repeated(different: DataFrame, shape: Shape, earlier: bool, stored, engine:
     sure = rows.filter("sure").select("key", F.greatest(F.col("place") - (shape.reach - 1), F.lit(0)).alias("low"), "high")
     some = contexts(different, rows.filter("open").select("key", "gram", "place", "high", "n"), shape, stored)
     full = some.filter("units is null").select("gram", "key", "first_id", "low")
+    alike = W.partitionBy("gram")
     if earlier:
-        least = full.groupBy("gram").agg(F.min("first_id").alias("least"))
-        again = full.join(least, "gram").filter("least < first_id")
+        again = full.withColumn("least", F.min("first_id").over(alike)).filter("least < first_id")
     else:
         spot = F.struct("key", "low")
-        ends = full.groupBy("gram").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b")
-        again = full.join(ends, "gram", "left_semi")
+        again = full.withColumns({"a": F.min(spot).over(alike), "b": F.max(spot).over(alike)}).filter("a != b")
     again = again.select("key", "low", (F.col("low") + shape.length).alias("high"))
 
     def run(batches):

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,9 +33,14 @@ REJECT = 0.7
 REMEMBERED = 400_000  # scores of words that a worker keeps
 
 
+_INSERTED = re.compile(r"[\W_]+")
+
+
 def folded(word: str) -> str:
-    """Lower case without accents."""
-    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    """Without accents, and without what is no letter or digit (`i-d-i-o-t`) if anything else is left. Words are lower case by then."""
+    if not word.isascii():
+        word = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return word if word.isalnum() else _INSERTED.sub("", word) or word
 
 
 def pieces(word: str) -> list[str]:
@@ -130,7 +134,7 @@ def applied(words: list[str], weights: np.ndarray) -> np.ndarray:
 
 def feature_matrix(words: list[str]) -> np.ndarray:
     """Sequences x words: the explicit feature vectors."""
-    out = np.zeros((SIZE**3, len(words)))
+    out = np.zeros((SIZE**3, len(words)), np.float32)
     for group in by_length(words):
         c = codes([words[i] for i in group])
         norm = lengths(c)
@@ -179,39 +183,47 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, ro
 
 def fitted(texts: list[str], toxic: np.ndarray, landmarks: int = 160, negatives: int = 12_000, rounds: int = 4, seed: int = 5) -> Toxicity:
     """Trains on texts with labels. A clean text has no toxic word; a toxic text has at least one, its witness, chosen anew in each round."""
-    bags = [words_of(t) for t in texts]
-    ct, cn = Counter(), Counter()
-    for bag, y in zip(bags, toxic):
-        (ct if y else cn).update(bag)
+    number: dict[str, int] = {}
+    bags = [np.fromiter({number.setdefault(w, len(number)) for w in words_of(t)}, np.int32) for t in texts]
+    words = list(number)
+    del number
+    toxic = np.asarray(toxic, float)
+    ct, cn = (np.bincount(np.concatenate([np.zeros(0, np.int32), *[b for b, y in zip(bags, toxic) if y == k]]), minlength=len(words)) for k in (1, 0))
     nt, nn = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    if not ct or not cn:
-        return Toxicity(np.zeros(SIZE**3, np.float32), -1.0 + 2.0 * bool(ct), 0.0, 1.0)
-    odds = {w: np.log((ct[w] + 0.1) / (nt + 1)) - np.log((cn[w] + 0.1) / (nn + 1)) for w in ct}
-    marks = [w for w, _ in sorted(ct.items(), key=lambda x: (-(x[1] / nt) * odds[x[0]], x[0]))[: landmarks * 3 // 4]]
+    if not ct.any() or not cn.any():
+        return Toxicity(np.zeros(SIZE**3, np.float32), -1.0 + 2.0 * bool(ct.any()), 0.0, 1.0)
     rng = np.random.default_rng(seed)
-    clean = sorted(cn)
-    marks += [clean[i] for i in rng.choice(len(clean), min(len(clean), landmarks - len(marks)), replace=False)]
-    marks = [pieces(folded(w))[0] for w in marks]
-    phi = feature_matrix(marks)
-    value, vector = np.linalg.eigh(phi.T @ phi)
+    in_order = np.argsort(np.array(words), kind="stable") if len(words) < 2_000_000 else np.arange(len(words))
+    rank = np.empty(len(words), np.int64)
+    rank[in_order] = np.arange(len(words))  # ties are broken by the words themselves
+    odds = np.log((ct + 0.1) / (nt + 1)) - np.log((cn + 0.1) / (nn + 1))
+    gain = np.where(ct > 0, ct / nt * odds, -np.inf)
+    marks = np.lexsort((rank, -gain))[: min(landmarks * 3 // 4, int((ct > 0).sum()))].tolist()
+    clean = in_order[cn[in_order] > 0]
+    marks += rng.choice(clean, min(len(clean), landmarks - len(marks)), replace=False).tolist()
+    phi = feature_matrix([pieces(folded(words[i]))[0] for i in marks])
+    value, vector = np.linalg.eigh((phi.T @ phi).astype(np.float64))
     keep = value > 1e-6 * value.max()
-    white = vector[:, keep] / np.sqrt(value[keep])  # Nyström: kernel values with the landmarks, whitened
-    project = phi @ white
-    hard = {clean[i] for i in rng.choice(len(clean), min(len(clean), negatives), replace=False)} | {w for w, _ in cn.most_common(2000)}
-    score = odds
-    vocabulary = sorted({p for p in ct} | set(cn))
+    project = phi @ (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)  # Nyström: kernel values with the landmarks, whitened
+    del phi
+    hard = np.zeros(len(words), bool)
+    hard[rng.choice(clean, min(len(clean), negatives), replace=False)] = True
+    hard[np.lexsort((rank, -cn))[:2000]] = True
+    hard &= cn > 0
+    score = np.where(ct > 0, odds, -9.0)
     for r in range(rounds):
-        witness = Counter(max(bag, key=lambda w: (score.get(w, -9), w)) for bag, y in zip(bags, toxic) if y and bag)
-        pos, neg = sorted(witness), sorted(hard - set(witness))
-        x = applied([pieces(folded(w))[0] for w in pos + neg], project)
+        witness = np.bincount([b[np.lexsort((rank[b], -score[b]))[0]] for b, y in zip(bags, toxic) if y and len(b)], minlength=len(words))
+        pos, neg = np.flatnonzero(witness), np.flatnonzero(hard & (witness == 0))
+        x = applied([pieces(folded(words[i]))[0] for i in (*pos, *neg)], project)
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        weight = np.r_[[np.sqrt(witness[w]) / (1.0 + 10.0 * cn[w]) for w in pos], np.full(len(neg), 0.3)]
+        weight = np.r_[np.sqrt(witness[pos]) / (1.0 + 10.0 * cn[pos]), np.full(len(neg), 0.3)]
         w, bias = machine(x, y, weight)
-        model = Toxicity((project @ w).astype(np.float32), bias, 0.0, 1.0)
-        got = model.values(vocabulary)
-        score = dict(zip(vocabulary, got))
-        hard |= set(sorted(cn, key=lambda v: -score[v])[: 1000 * (r + 1)])
-    best = np.array([max((score[w] for w in bag), default=-9.0) for bag in bags])
+        model = Toxicity((project @ w.astype(np.float32)).astype(np.float32), bias, 0.0, 1.0)
+        for k in range(0, len(words), 50_000):
+            score[k : k + 50_000] = model.values(words[k : k + 50_000])
+        hard[np.lexsort((rank, np.where(cn > 0, -score, np.inf)))[: 1000 * (r + 1)]] = True
+        hard &= cn > 0
+    best = np.array([score[b].max() if len(b) else -9.0 for b in bags])
     model.middle, model.slope = cutoff(best, toxic)
     return model
 
@@ -241,7 +253,7 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 3000, longest: int = 20_000, **options) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = 2000, longest: int = 20_000, **options) -> Toxicity:
     """Trains on a bounded sample of labelled rows: `most` texts a class of `longest` characters at most, none of them held out.
 
     Rows without a label, with null ids or null texts aren't learnt from. Without any row of a class all texts get the score of the other.
