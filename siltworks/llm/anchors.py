@@ -25,8 +25,8 @@ from .common import whole
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: Units that are hashed at once, and the contexts of one gram beyond which each window is keyed by itself.
-CHUNK, HOT = 1_000_000, 20_000
+#: Units that are hashed at once; the occurrences of a gram beyond which its contexts are cut into pieces; windows to a piece.
+CHUNK, HOT, BLOCK = 1_000_000, 2_000, 16
 BYTE_CODES = np.random.default_rng(20).integers(1 << 62, 1 << 63, 256, dtype=np.uint64)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -177,8 +177,8 @@ CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("key"
 def contexts(different: DataFrame, open_: DataFrame, shape: Shape, stored: Callable[[bytes, np.ndarray], tuple[np.ndarray, int]]) -> DataFrame:
     """The units of every open context: gram, key, first_id, low (where it begins), units.
 
-    The windows around a gram with more than HOT occurrences get a prefix of full length instead: each has a row of its own, with a hash of
-    its units as gram and no units, so that they group by what they are. stored(text, codes) gives the units to keep, and bytes per unit.
+    The context of a gram with more than HOT occurrences is cut into pieces: windows that begin within a block of BLOCK places share all but
+    the block, and that longer stretch is what the piece groups by. So what differs around a frequent passage falls apart into small groups.
     """
     wanted = open_.groupBy("key").agg(F.collect_list(F.struct("gram", "place", "high", "n")).alias("open"))
     joined = different.select("key", "text", "first_id", "copies").join(wanted, "key")
@@ -192,14 +192,17 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, stored: Calla
                 raw, rolling = kept.tobytes(), None
                 out: list[tuple] = []
                 for s in spots:
-                    low, high = max(0, s["place"] - shape.reach + 1), s["high"]
+                    place, low, high = s["place"], max(0, s["place"] - shape.reach + 1), s["high"]
                     if s["n"] <= HOT:
                         out.append((s["gram"], key, first_id, low, raw[low * width : high * width]))
-                    else:
-                        rolling = rolling or Rolling(codes)
-                        first = np.arange(low, high - shape.length + 1)
-                        full = rolling.of(first, first + shape.length).view(np.int64)
-                        out.extend((int(g), key, first_id, int(i), None) for g, i in zip(full, first))
+                        continue
+                    rolling = rolling or Rolling(codes)
+                    for a in range(0, shape.reach, BLOCK):
+                        b_ = min(a + BLOCK, shape.reach)
+                        begin, end = max(low, place - b_ + 1), min(high, place - a + shape.length)
+                        if end - begin >= shape.length:  # then what all windows of the block share is within the text, too
+                            core = rolling.of(np.array([place - a]), np.array([place - b_ + 1 + shape.length]))
+                            out.append((int(core.view(np.int64)[0]), key, first_id, begin, raw[begin * width : end * width]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _arrow(CONTEXT).types)], schema=_arrow(CONTEXT))
 
@@ -209,47 +212,53 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, stored: Calla
 RANGE = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType())])
 
 
-def repeated(different: DataFrame, shape: Shape, earlier: bool, stored, engine: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+def repeated(different: DataFrame, shape: Shape, earlier: bool, stored, width: int, engine: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
     """(key, ranges): for each text with any, the ranges (low, high) of its units that repeated windows cover.
 
-    engine gets whole groups of contexts (gram, key, first_id, low, units) and returns (index, low, high) of the covered ranges.
+    width is the number of bytes of a stored unit. engine gets whole groups of contexts (gram, key, first_id, low, units) and returns
+    (index, low, high) of the covered ranges.
     """
     rows = judged(anchors(different, shape), earlier)
     sure = rows.filter("sure").select("key", F.greatest(F.col("place") - (shape.reach - 1), F.lit(0)).alias("low"), "high")
     some = contexts(different, rows.filter("open").select("key", "gram", "place", "high", "n"), shape, stored)
-    full = some.filter("units is null").select("gram", "key", "first_id", "low")
-    alike = W.partitionBy("gram")
-    if earlier:
-        again = full.withColumn("least", F.min("first_id").over(alike)).filter("least < first_id")
-    else:
-        spot = F.struct("key", "low")
-        again = full.withColumns({"a": F.min(spot).over(alike), "b": F.max(spot).over(alike)}).filter("a != b")
-    again = again.select("key", "low", (F.col("low") + shape.length).alias("high"))
-
     def run(batches):
         held: list[tuple] = []
-        size = 0
+        size, twice = 0, []
 
-        def done(rows: list[tuple]):
-            ranges = [(rows[i][1], a, b) for i, a, b in engine(rows)]
+        def done():
+            ranges = twice + [(held[i][1], a, b) for i, a, b in (engine(held) if held else ())]
             if ranges:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ranges), _arrow(RANGE).types)], schema=_arrow(RANGE))
+            held.clear()
+            twice.clear()
 
+        last = None
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if size > ENGINE_BYTES and row[0] != held[-1][0]:
-                    yield from done(held)
-                    held, size = [], 0
+                gram, key, first_id, low, units = row
+                if last and gram == last[0] and units == last[4] and (first_id > last[2] if earlier else (key, low) != (last[1], last[3])):
+                    # Equal contexts are neighbours: all their windows repeat, and one stands for them.
+                    n = low + len(units) // width
+                    twice.append((key, low, n))
+                    if not earlier:
+                        twice.append((last[1], last[3], last[3] + len(units) // width))
+                    continue
+                if size > ENGINE_BYTES and gram != held[-1][0]:
+                    yield from done()
+                    size = 0
                 held.append(row)
-                size += len(row[4])
-        if held:
-            yield from done(held)
+                size += len(units)
+                last = row
+            if len(twice) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*twice), _arrow(RANGE).types)], schema=_arrow(RANGE))
+                twice.clear()
+        yield from done()
 
-    looked = some.filter("units is not null").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, RANGE)
-    return sure.unionByName(again).unionByName(looked).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    looked = some.repartition("gram").sortWithinPartitions("gram", "units", "first_id").mapInArrow(run, RANGE)
+    return sure.unionByName(looked).groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
-#: Bytes of contexts that a suffix structure is built over at once; a group of one gram is at most HOT contexts.
+#: Bytes of contexts that a suffix structure is built over at once, and more only for one group.
 ENGINE_BYTES = 4_000_000
 
 

@@ -50,13 +50,17 @@ def root_to_leaf(messages: DataFrame, most_paths: int | None = None) -> DataFram
     jump = nodes.join(nodes.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"))
     # A hot tree is many (tree, node) keys, so its rows spread over the tasks.
     reach = cut(nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("height")))
-    jump, step = cut(jump), 1
-    while not jump.isEmpty():
-        higher = reach.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + step).alias("height"))
+    jump, step, most = cut(jump), 1, nodes.count()
+    roots = nodes.join(jump, ["tree", "node"], "left_anti").select("tree", "node")
+    while step <= most:  # a path has no more messages than there are; only cycles would go on
+        higher = cut(reach.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + step).alias("height")))
+        if higher.isEmpty():
+            break
         reach = cut(reach.unionByName(higher))
         then = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("upper"))
         jump = cut(jump.join(then, ["tree", "up"]).select("tree", "node", F.col("upper").alias("up")))
         step *= 2
+    reach = reach.join(reach.join(roots, ["tree", "node"]).select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
     scored = reach.join(nodes.select("tree", "node", "score"), ["tree", "node"])
     paths = scored.groupBy("tree", "leaf").agg(F.max("height").alias("top"), F.sum("score").alias("path_score"))
     paths = paths.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))

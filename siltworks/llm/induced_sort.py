@@ -227,7 +227,7 @@ def byte_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text are other places of each other, so all of them lose every byte, if there are 200. Null counts as empty.
     """
     rows, different = texts_of(docs, id_col, text_col)
-    ranges = repeated(different, SHAPE, False, stored_bytes, repeated_windows)
+    ranges = repeated(different, SHAPE, False, stored_bytes, 1, repeated_windows)
     joined = different.select("key", "text", "first_id", "copies").join(ranges, "key", "left")
 
     def run(batches):

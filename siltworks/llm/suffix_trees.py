@@ -95,7 +95,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     those with the smallest id lose all words, if there are 50. Null and empty texts have no words. A null id counts as the largest.
     """
     rows, different = texts_of(docs, id_col, text_col)
-    ranges = repeated(different, SHAPE, True, stored_words, earlier_windows)
+    ranges = repeated(different, SHAPE, True, stored_words, 4, earlier_windows)
     joined = different.select("key", "text", "first_id", "copies").join(ranges, "key", "left")
 
     def run(batches):
