@@ -57,7 +57,7 @@ def is_furniture(name: str, rest: str, inside: Counter) -> bool:
 
 def parsed(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, int]]]:
     """The page's tokens (kind, words, in article) and its blocks (text, index of the first token). Kinds: a tag, `w` for the words of a stretch
-    of text, `f` for those within furniture. Every character of the page is read once, whatever is left open or closed twice."""
+    of text, `f` for a piece of furniture. Every character of the page is read once, whatever is left open or closed twice."""
     tokens: list[tuple[str, int, bool]] = []
     blocks: list[tuple[str, int]] = []
     stack: list[tuple[str, bool]] = []
@@ -78,8 +78,10 @@ def parsed(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, int]
         nonlocal first
         raw = html.unescape(raw)
         n = len(raw.split())
-        if n:
-            tokens.append(("f" if off else "w", n, inside["article"] > 0))
+        if n and not off:
+            tokens.append(("w", n, inside["article"] > 0))
+        elif n and not (tokens and tokens[-1][0] == "f"):
+            tokens.append(("f", 1, inside["article"] > 0))  # once for each piece of furniture, however long it is: it is left out anyway
         if not off:
             if first < 0 and n:
                 first = len(tokens) - 1
@@ -99,7 +101,8 @@ def parsed(page: str) -> tuple[list[tuple[str, int, bool]], list[tuple[str, int]
             continue
         if name in BLOCKS:
             flush()
-        tokens.append((m["end"] + name, 0, inside["article"] > 0))
+        if not off:
+            tokens.append((m["end"] + name, 0, inside["article"] > 0))
         if m["end"]:
             if inside[name]:
                 while stack:
@@ -137,7 +140,7 @@ def learnt(pages: Iterable[str]) -> dict[str, float]:
     if not inside or not outside:
         return {"w": USUAL_WORD, "f": USUAL_FURNITURE}
     out = {k: float(np.clip(np.log((inside[k] + 0.5) / a) - np.log((outside[k] + 0.5) / b), LEAST, -0.02)) for k in {*inside, *outside}}
-    out["w"] = float(np.clip(np.log((inside["w"] + 0.5) / a) - np.log((outside["w"] + 0.5) / b), 0.5, 2.0))
+    out["w"] = float(np.clip(np.log((inside["w"] + 0.5) / a) - np.log((outside["w"] + 0.5) / b), USUAL_WORD, 2.0))
     out["f"] = min(out.get("f", USUAL_FURNITURE), USUAL_FURNITURE)
     return out
 

@@ -30,7 +30,7 @@ SIZE = len(LETTERS) + 2  # padding is 0, any other character is the last code; n
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
 DECAY, REACH, LONGEST, STEP = 0.8, 6, 24, 8
 REJECT = 0.7
-REMEMBERED = 400_000  # scores of words that a worker keeps
+REMEMBERED, SLICE = 150_000, 256  # scores of words that a worker keeps; texts scored at once
 
 
 _INSERTED = re.compile(r"[\W_]+")
@@ -267,14 +267,18 @@ def scorer(model: Toxicity):
     seen: dict[str, float] = {}
 
     def run(texts: list[str | None]) -> np.ndarray:
+        # A few texts at a time, so that the words of a whole Arrow batch are never held at once.
+        return np.concatenate([np.zeros(0), *[some(texts[i : i + SLICE]) for i in range(0, len(texts), SLICE)]])
+
+    def some(texts: list[str | None]) -> np.ndarray:
         bags = [words_of(t) if t else set() for t in texts]
         new = set().union(*bags) - seen.keys() if bags else set()
         if len(seen) + len(new) > REMEMBERED:
             seen.clear()
             new = set().union(*bags)
         new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
             seen.update(zip(part, model.values(part).tolist()))
         get = seen.__getitem__
         return model.scores(np.array([max(map(get, b), default=-9.0) for b in bags]))
