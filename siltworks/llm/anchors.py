@@ -26,7 +26,7 @@ from .common import whole
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Units that are hashed at once; the occurrences of a gram beyond which its contexts are cut into pieces; windows to a piece.
-CHUNK, HOT, BLOCK = 1_000_000, 2_000, 16
+CHUNK, HOT, BLOCK = 400_000, 2_000, 16
 BYTE_CODES = np.random.default_rng(20).integers(1 << 62, 1 << 63, 256, dtype=np.uint64)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -259,7 +259,7 @@ def repeated(different: DataFrame, shape: Shape, earlier: bool, stored, width: i
 
 
 #: Bytes of contexts that a suffix structure is built over at once, and more only for one group.
-ENGINE_BYTES = 4_000_000
+ENGINE_BYTES = 1_000_000
 
 
 def covered(n: int, ranges: list[dict] | None) -> np.ndarray:
