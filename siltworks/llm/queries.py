@@ -16,6 +16,7 @@ from .induced_sort import byte_dedup
 from .mixing import mixed
 from .near_dedup import near_dedup
 from .oracles import oracle_sql as oracle_sql
+from .pii import pii_surrogates
 from .suffix_trees import substring_dedup
 
 
@@ -30,6 +31,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("conversation").cast("long").alias("formatted_chars"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "pii_count", F.array_join("pii_kinds", ",").alias("pii_kinds"), "text")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -67,4 +73,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op3_exact_dedup, op4_mixing, op5_suffix_array_dedup, op6_html_extraction, op7_substring_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_pii_surrogates, op3_exact_dedup, op4_mixing, op5_suffix_array_dedup, op6_html_extraction, op7_substring_dedup, op8_toxicity, op9_ngram_jaccard_join, op10_decontamination)}
