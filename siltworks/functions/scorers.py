@@ -12,6 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import cut
+
+#: Log probabilities of joined words are whole numbers of this fraction, so that their sums don't depend on their order.
+LOG_UNITS = 10**9
+
 
 @dataclass
 class LanguageModel:
@@ -48,10 +53,14 @@ def fit_language(docs: DataFrame, text: str = "text", lang: str = "lang", most:
 
 @dataclass
 class WordModel:
-    """An interpolated unigram model over words, with a share for unknown ones."""
+    """An interpolated unigram model over words, with a share for unknown ones.
+
+    logs holds the frequent words. Where there are more, tail is a table of all the others, (w, log) with log in LOG_UNITS, which is joined.
+    """
 
     logs: dict[str, float] = field(default_factory=dict)
     unknown: float = -6.0
+    tail: DataFrame | None = field(default=None, compare=False, repr=False)
 
     def perplexity(self, text: str) -> float:
         """10 to the negative mean log10 probability over words and line ends, to one decimal; 0 for an empty text."""
@@ -62,13 +71,34 @@ class WordModel:
             n += len(words) + 1
         return round(10.0 ** (-total / n), 1) if n else 0.0
 
+    def known_part(self, text: str) -> tuple[int, int, Counter]:
+        """Words and line ends of a text, the sum over those in logs, in LOG_UNITS, and the words to look up in tail with their counts."""
+        total, n, others = 0, 0, Counter()
+        for line in text.splitlines():
+            words = line.lower().split()
+            n += len(words) + 1
+            total += round(self.logs.get("\n", -2.0) * LOG_UNITS)
+            for w in words:
+                if (log := self.logs.get(w)) is None:
+                    others[w] += 1
+                else:
+                    total += round(log * LOG_UNITS)
+        return n, total, others
+
 
 def fit_words(docs: DataFrame, text: str = "text", most: int = 50_000) -> WordModel:
-    """Counts words over all rows; the `most` frequent ones make the model."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+")).alias("w")).filter("w != ''").groupBy("w").count()
-    total = words.agg(F.sum("count")).first()[0] or 1
+    """Counts words over all rows, and all of them make the model: the `most` frequent ones in memory, the others as a table to join."""
+    words = cut(docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+")).alias("w")).filter("w != ''").groupBy("w").count())
+    total, kinds = words.agg(F.sum("count"), F.count("*")).first()
+    total = total or 1
     top = words.orderBy(F.desc("count"), "w").limit(most).collect()
-    return WordModel({r.w: math.log10(r["count"] / total) for r in top}, math.log10(0.1 / total))
+    tail = None
+    if kinds > most:
+        rest = words
+        if top:
+            rest = words.filter((F.col("count") < top[-1]["count"]) | (F.col("count") == top[-1]["count"]) & (F.col("w") > F.lit(top[-1].w)))
+        tail = rest.select("w", F.round(F.log10(F.col("count") / F.lit(total)) * LOG_UNITS).cast("long").alias("log"))
+    return WordModel({r.w: math.log10(r["count"] / total) for r in top}, math.log10(0.1 / total), tail)
 
 
 def language_score(texts: list[str], model: LanguageModel, lang: str | None = None) -> np.ndarray:
@@ -77,6 +107,8 @@ def language_score(texts: list[str], model: LanguageModel, lang: str | None = No
 
 
 def perplexity(texts: list[str], model: WordModel) -> np.ndarray:
+    if model.tail is not None:
+        raise ValueError("the words of this model are also in a table; plans.pipeline.lower joins it")
     return np.array([model.perplexity(t) for t in texts])
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scorers import LOG_UNITS, WordModel
+from ..functions.scratch import cut
 from ..functions.text import text_of
 from ..operators.registry import OPERATORS
 from ..operators.rows import boundary
@@ -21,6 +23,9 @@ from ..operators.rows import boundary
 # Kernels travel to the executors by value.
 cloudpickle.register_pickle_by_value(sys.modules["siltworks"])
 
+#: Texts whose words are held at once.
+SLICE = 256
+
 
 @dataclass(frozen=True)
 class Step:
@@ -57,16 +62,21 @@ def lower(df: DataFrame, steps: Sequence[Step], text: str = "text", annotate: bo
     """df through the steps, in their order.
 
     Native mappers in a row make one expression, which is computed once behind a boundary; native filters stay Columns, so they are
-    evaluated left to right in generated code. Kernel steps in a row are one pass over Arrow batches, each on the rows that are left.
+    evaluated left to right in generated code. Kernel steps in a row are one pass over Arrow batches, each on the rows that are left. A
+    perplexity whose model has more words than memory should hold is a join by word.
     annotate: keeps all rows and adds each filter's statistic as stat_<tag>.
     """
     df = df.withColumn(text, text_of(text))
     steps = list(steps)
     at = 0
     while at < len(steps):
+        if joined(steps[at]):
+            df = joined_perplexity(df, steps[at], text, annotate)
+            at += 1
+            continue
         engine, kind = steps[at].operator.engine, steps[at].operator.kind
         end = at
-        while end < len(steps) and steps[end].operator.engine == engine and (engine == "kernel" or steps[end].operator.kind == kind):
+        while end < len(steps) and not joined(steps[end]) and steps[end].operator.engine == engine and (engine == "kernel" or steps[end].operator.kind == kind):
             end += 1
         group = steps[at:end]
         if engine == "kernel":
@@ -86,6 +96,40 @@ def lower(df: DataFrame, steps: Sequence[Step], text: str = "text", annotate: bo
     return df
 
 
+def joined(step: Step) -> bool:
+    return step.op == "perplexity" and getattr(step.args.get("model"), "tail", None) is not None
+
+
+def joined_perplexity(df: DataFrame, step: Step, text: str, annotate: bool) -> DataFrame:
+    """The perplexity filter with the words of the model's tail joined to those of the texts.
+
+    Frequent words are summed in the pass that splits the texts, so no word that moves is hot. The rows are kept, as they are used twice.
+    """
+    where, model = df.columns.index(text), step.args["model"]
+    known, tail, unknown = WordModel(model.logs, model.unknown), model.tail, round(model.unknown * LOG_UNITS)
+    added = T._parse_datatype_string("__n long, __sum long, __others array<struct<w: string, c: long>>")
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):  # a few texts at a time, so that the words of a whole batch are never held at once
+                b = whole.slice(at, SLICE)
+                got = [known.known_part(t) for t in b.column(where).to_pylist()]
+                offsets = pa.array(np.cumsum([0, *[len(g[2]) for g in got]]), pa.int32())
+                words = pa.StructArray.from_arrays([pa.array([w for g in got for w in g[2]], pa.string()), pa.array([c for g in got for c in g[2].values()], pa.int64())], ["w", "c"])
+                more = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.ListArray.from_arrays(offsets, words)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, *added.names])
+
+    rows = cut(df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields])).withColumn("__row", F.monotonically_increasing_id()))
+    sums = rows.select("__row", F.explode("__others").alias("o")).select("__row", "o.w", "o.c").join(tail, "w", "left")
+    sums = sums.groupBy("__row").agg(F.sum(F.col("c") * F.coalesce("log", F.lit(unknown))).alias("__more"))
+    total = F.col("__sum") + F.coalesce("__more", F.lit(0))
+    stat = F.when(F.col("__n") > 0, F.round(F.pow(F.lit(10.0), -total / F.lit(float(LOG_UNITS)) / F.col("__n")), 1)).otherwise(F.lit(0.0))
+    out = rows.drop("__others").join(sums, "__row", "left").withColumn(f"stat_{step.tag}", stat)
+    keep = None if annotate else step.within(F.col(f"stat_{step.tag}"))
+    out = out if keep is None else out.filter(keep)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[f"stat_{step.tag}"] * annotate)
+
+
 def cascade(df: DataFrame, steps: Sequence[Step], text: str, annotate: bool) -> DataFrame:
     """Kernel steps as one pass over batches. A filter drops rows before the next step sees them."""
     where = df.columns.index(text)
