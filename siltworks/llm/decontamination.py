@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, small, whole
 
-#: Fixed masks over 12 tokens: 1 is read, 0 is ignored. All read the first and the last and as many in all; each ignores other places, so that a substituted token spoils few of them.
-MASKS = ("110110101101", "111010010111", "101101110011")
+#: Fixed masks over 10 tokens: 1 is read, 0 is ignored. All read the first and the last and as many in all. Wherever two of 12 tokens in a row are substituted, one of the masks at one of its three places reads neither (tests enumerate this), so every window that verifies at 10 of 12 has a seed.
+MASKS = ("1101011001", "1001001111", "1011010101")
 #: Benchmark items are matched in pieces of so many tokens that overlap by so many, and broadcast in blocks of about so many seeds.
 PIECE, PIECE_OVERLAP, BLOCK_SEEDS = 96, 32, 100_000
 
@@ -62,7 +62,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     A hit is a place in a document and one in an item with equal hashes under one mask. It fixes an alignment, and this is verified: some
     window of `window` tokens (or the whole item, if shorter) must agree in at least `similarity` of its tokens. Items longer than PIECE
-    tokens are cut into pieces that overlap by more than a window. The benchmark is the stated query set: its seeds are counted and dealt
+    tokens are cut into pieces that overlap by more than a window. With the default masks, window and similarity no such alignment is missed. The benchmark is the stated query set: its seeds are counted and dealt
     into blocks of about BLOCK_SEEDS, and each block is broadcast against all documents.
     """
     span = len(masks[0])

@@ -7,8 +7,9 @@ Tests compare those with brute force, exact texts or held-out labels.
 from __future__ import annotations
 
 from .chat_format import CONTROL
-from .decontamination import MASKS
 
+#: The masks of OP10, which is the stated SQL: the operator's own hit more alignments.
+MASKS = ("110110101101", "111010010111", "101101110011")
 WORDS = r"[x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
 
 OP1 = rf"""
