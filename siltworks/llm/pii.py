@@ -50,7 +50,7 @@ PATTERN = "|".join(f"(?:{a}{p}{z})" for a, p, z in KINDS.values())
 #: Cheap conditions of which every entity meets one, so that most clean texts are passed over without the long pattern.
 HINTS = (r"[0-9@]|:[a-fA-F]{1,4}:|[a-fA-F]{32}|sk-|gh[pousr]_|AKIA|" + "|".join((*HAN_MS, *HAN_MR)), rf"(?=\p{{Lu}}){_B}(?:{'|'.join((*MS, *MR, *ANY, *FEMALE, *MALE))})[. ]")
 
-#: Draws after which a surrogate gets longer; draws after which there is none; copies of the table of surrogates for joins with hot values.
+#: Draws after which a surrogate gets longer; draws after which the job ends, which only kinds of fixed length could reach; copies of the table of surrogates for joins with hot values.
 WIDEN, MOST_DRAWS, SALTS = 6, 60, 8
 
 
@@ -148,6 +148,9 @@ def surrogate(kind: Column, canon: Column, key: str, draw: int) -> Column:
     # Addresses with one domain keep one domain; the last label stays.
     email = F.concat(_scrambled(F.concat(local, F.lit("x" * wide)), seed), F.lit("@"), _scrambled(domain, keyed(F.lit("domain"), F.regexp_extract(canon, "@(.*)$", 1))), F.regexp_extract(canon, r"(\.[^.]*)$", 1))
     digits = F.concat(F.substring(canon, 1, 1), F.substr(_scrambled(canon, seed), F.lit(2)))  # the first digit stays
+    longer = F.concat(digits, F.substr(_scrambled(F.concat(canon, F.lit("0" * wide)), seed), F.length(canon) + 1))  # a short number may have no free value of its length
+    # Groups of four take the place of shorter ones where those have no free value.
+    ipv6 = F.regexp_replace(F.substring(F.sha2(seed, 256), 1, 32), "(.{4})(?=.)", "$1:") if wide else _scrambled(canon, seed)
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     zero = F.concat(body, F.lit("0"))
     card = F.when(luhn(canon) == 0, F.concat(body, ((10 - luhn(zero)) % 10).cast("string"))).otherwise(digits)
@@ -168,14 +171,15 @@ def surrogate(kind: Column, canon: Column, key: str, draw: int) -> Column:
             made = stem if (s, k) == ("han", "last") else F.concat(stem, _pick(seed, 99, by[s]))
             name = F.when((script == s) & (kind == k), made).otherwise(name)
     secret = F.concat(F.regexp_extract(canon, "^(AKIA|gh[pousr]_|sk-)?", 1), _scrambled(F.concat(F.regexp_extract(canon, "^(AKIA|gh[pousr]_|sk-)?(.*)$", 2), F.lit("0" * wide)), seed))
-    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", ip).when(kind.isin("phone", "ssn"), digits).when(kind == "ipv6", _scrambled(canon, seed)).otherwise(name)
+    return F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "card", card).when(kind == "iban", iban).when(kind == "ip", ip).when(kind.isin("phone", "ssn"), longer if wide else digits).when(kind == "ipv6", ipv6).otherwise(name)
 
 
 def surrogates(parts: DataFrame, key: str) -> DataFrame:
     """(kind, canon), distinct, to (kind, canon, sur): within a family no two have one surrogate, and none is a real value.
 
     Each round draws for what is left, and one aggregation settles who keeps a value: real values first, then earlier rounds, then the
-    smallest canonical form. Rounds are few, as most draws are free; a family with no free values left ends the job with an error.
+    smallest canonical form. Rounds are few, as most draws are free, and where they aren't, surrogates get longer by a digit a round. IPv4
+    addresses, cards and account numbers keep their length; the job ends with an error if the corpus holds nearly all values of one of these.
     """
     real = parts.select(family(F.col("kind")).alias("family"), F.col("canon").alias("value")).distinct().select("*", F.struct(F.lit(0).alias("rank"), F.lit("").alias("kind"), F.lit("").alias("canon")).alias("who"))
     left, done = parts, None
@@ -194,11 +198,12 @@ def surrogates(parts: DataFrame, key: str) -> DataFrame:
 
 
 def _written(kind: Column, raw: Column, sur: Column) -> Column:
-    """A canonical surrogate in the format of the place: its separators, or its case."""
+    """A canonical surrogate in the format of the place: its separators, or its case. What is longer than the place stands at its last digit."""
+    size = F.length(F.regexp_replace(raw, r"[^\p{L}\p{N}]", ""))
 
     def one(c, i):
         n = F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), r"[^\p{L}\p{N}]", ""))
-        return F.when(c.rlike(r"[\p{L}\p{N}]"), F.substring(sur, n, F.lit(1))).otherwise(c)
+        return F.when(c.rlike(r"[\p{L}\p{N}]"), F.substring(sur, n, F.when(n == size, F.length(sur)).otherwise(1))).otherwise(c)
 
     filled = F.array_join(F.transform(_chars(raw), one), "")
     cased = F.when((F.upper(raw) == raw) & (F.lower(raw) != raw), F.upper(sur)).when(family(kind) == "name", F.initcap(sur)).otherwise(sur)
