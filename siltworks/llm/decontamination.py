@@ -13,11 +13,15 @@ from .common import cut, small, whole
 MASKS = ("1101011001", "1001001111", "1011010101")
 #: Benchmark items are matched in pieces of so many tokens that overlap by so many, and broadcast in blocks of about so many seeds.
 PIECE, PIECE_OVERLAP, BLOCK_SEEDS = 96, 32, 100_000
+#: Letters of scripts that don't put spaces between words: each is a token.
+SPACELESS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}]"
 
 
 def token_hashes(text: Column) -> Column:
-    """Hashes of the lower-cased runs of letters and digits."""
-    tokens = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Hashes of the lower-cased runs of letters and digits, and of single letters in scripts without spaces."""
+    between = r"[^\p{L}\p{N}]+"
+    split = F.when(text.rlike(SPACELESS), F.split(F.lower(text), f"{between}|(?<={SPACELESS})|(?={SPACELESS})")).otherwise(F.split(F.lower(text), between))
+    tokens = F.filter(split, lambda t: t != "")
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
@@ -57,24 +61,50 @@ def _hits(texts: DataFrame, items: DataFrame, masks: tuple[str, ...]) -> DataFra
     return seeded(near, "doc", masks).join(seeds, "seed")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 12, similarity: float = 0.8, masks: tuple[str, ...] = MASKS) -> DataFrame:
+def runs(n: int, similarity: float) -> list[tuple[int, int]]:
+    """(at, length) of runs that make up an item of n tokens: one more than may differ in it, so that one of them is whole in every match."""
+    differ = max(k for k in range(n) if (n - k) / n >= similarity)
+    ends = [n * k // (differ + 1) for k in range(differ + 2)]
+    return [(a, z - a) for a, z in zip(ends, ends[1:])]
+
+
+def _short_hits(texts: DataFrame, items: DataFrame, of: dict[int, list[tuple[int, int]]]) -> DataFrame:
+    """_hits() for items of few tokens: equal runs, by the items' sizes, of texts and of a block of items."""
+    all_runs = F.coalesce(*[F.when(F.size("item") == n, F.array(*[F.struct(F.lit(a).alias("item_at"), F.lit(k).alias("k")) for a, k in r])) for n, r in of.items()])
+    run = items.select("item_id", "item", F.explode(all_runs).alias("r")).select("item_id", "item", "r.*")
+    run = run.withColumns({"first": F.get("item", F.col("item_at")), "seed": F.xxhash64("k", F.slice("item", F.col("item_at") + 1, F.col("k")))})
+    at = texts.select("doc_id", "doc", F.posexplode("doc").alias("at", "first")).join(F.broadcast(run.select("first").distinct()), "first", "left_semi")
+    ks = F.array(*[F.lit(k) for k in sorted({k for r in of.values() for _, k in r})])
+    seeds = at.select("doc_id", "doc", "at", F.explode(ks).alias("k")).filter(F.col("at") + F.col("k") <= F.size("doc"))
+    seeds = seeds.select("doc_id", "doc", "at", F.xxhash64("k", F.slice("doc", F.col("at") + 1, F.col("k"))).alias("seed"))
+    return seeds.join(F.broadcast(run.select("item_id", "item", "item_at", "seed")), "seed")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 12, similarity: float = 0.8, masks: tuple[str, ...] = MASKS, short: bool = False) -> DataFrame:
     """(doc_id, item_id, shift, agreement): every alignment of a benchmark item with a document that verifies.
 
     A hit is a place in a document and one in an item with equal hashes under one mask. It fixes an alignment, and this is verified: some
     window of `window` tokens (or the whole item, if shorter) must agree in at least `similarity` of its tokens. Items longer than PIECE
-    tokens are cut into pieces that overlap by more than a window. With the default masks, window and similarity no such alignment is missed. The benchmark is the stated query set: its seeds are counted and dealt
+    tokens are cut into pieces that overlap by more than a window. With the default masks, window and similarity no such alignment is missed. short: items of fewer tokens than a window or a mask are matched too, as wholes. The benchmark is the stated query set: its seeds are counted and dealt
     into blocks of about BLOCK_SEEDS, and each block is broadcast against all documents.
     """
-    span = len(masks[0])
+    least = max(len(masks[0]), window)
     tokens = token_hashes(whole(item_text_col))
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens.alias("t")).filter(F.size("t") >= span)
+    every = benchmark.select(F.col(item_col).alias("item_id"), tokens.alias("t"))
+    items = every.filter(F.size("t") >= least)
     starts = F.sequence(F.lit(0), F.greatest(F.size("t") - PIECE_OVERLAP - 1, F.lit(0)), F.lit(PIECE - PIECE_OVERLAP))
     items = items.select("item_id", F.explode(F.transform(starts, lambda o: F.slice("t", o + 1, PIECE))).alias("item"))
     n = items.agg(F.sum(F.size("item"))).first()[0] or 0
     blocks = max(1, -(-n * len(masks) // BLOCK_SEEDS))
     texts = docs.select(F.col(id_col).alias("doc_id"), token_hashes(whole(text_col)).alias("doc"))
     found = [_hits(texts, items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k), masks) for k in range(blocks)]
-    hits = reduce(DataFrame.unionByName, found)
+    if short:
+        few = every.filter(F.size("t").between(1, least - 1)).withColumnRenamed("t", "item")
+        sizes = {r.n: r["count"] for r in few.groupBy(F.size("item").alias("n")).count().collect()}  # fewer rows than a window has tokens
+        of = {n: runs(n, similarity) for n in sorted(sizes)}
+        blocks_of_few = -(-sum(len(of[n]) * c for n, c in sizes.items()) // BLOCK_SEEDS)
+        found += [_short_hits(texts, few.filter(F.pmod(F.xxhash64("item"), F.lit(blocks_of_few)) == k), of) for k in range(blocks_of_few)]
+    hits = reduce(DataFrame.unionByName, [h.select("doc_id", "doc", "at", "item_id", "item", "item_at") for h in found])
     shift = F.col("at") - F.col("item_at")
     # The stretch of the document that the item can lie on, with the shift into that stretch.
     stretch = F.slice("doc", F.greatest(shift, F.lit(0)) + 1, F.size("item"))
@@ -86,7 +116,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def decontamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document id: doc_id, items (the benchmark items that it holds, by id), agreement (the best), contaminated.
 
-    Null and empty texts hold no item. Benchmark items shorter than a mask have no seed and match nothing. Repeated ids are one row; a
+    Null and empty texts hold no item. Benchmark items shorter than a window match nothing unless `short` is set. Repeated ids are one row; a
     null id is an id. Empty tables on either side leave every document clean.
     """
     found = overlaps(docs, benchmark, id_col, text_col, **options).select("doc_id", "item_id", "agreement")

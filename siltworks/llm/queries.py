@@ -68,7 +68,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
     return found.withColumn("items", F.array_join(F.transform("items", lambda i: i.cast("string")), ","))
 
 
