@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +37,30 @@ def n_words(text: Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the folder that the cluster shares and names in spark.checkpoint.dir."""
+    """df with its lineage cut, kept in the folder that the cluster shares and names in spark.checkpoint.dir.
+
+    Only where none is named, and the master is a local one, is it a temporary folder of this machine, which goes when Python ends. Elsewhere
+    a missing setting is an error, as other machines couldn't read such a folder.
+    """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltworks-"))  # only where no cluster names one
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="siltworks-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the bound."""
     return F.broadcast(df) if rows <= most else df

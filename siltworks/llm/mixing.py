@@ -33,51 +33,120 @@ def pareto_key(u: Column, odds_of: Column) -> Column:
     return F.when(p >= 1, F.lit(0.0)).when(p <= 0, F.lit(float("inf"))).otherwise((u / (1 - u)) / (p / (1 - p)))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11, weight_col: str | None = None, fill_passes: int = 3, bin_rows: int = 2000) -> DataFrame:
+#: Weights count to an eighth of an octave, so a source has a bounded number of them.
+EIGHTHS = 8
+
+
+def expected_copies(classes: DataFrame, cap: float) -> DataFrame:
+    """classes (name, eighth, words, target) with expected: how often a document of the class is taken, in proportion to its weight up to cap.
+
+    The words expected of a source are its target. That is the level at which the classes that stay below the cap, from the heaviest on, take
+    what the capped ones leave; without weight nothing is taken. A source has a bounded number of classes.
+    """
+    weight = F.pow(F.lit(2.0), F.col("eighth") / EIGHTHS)
+    of = W.partitionBy("name").orderBy(F.desc("eighth"))
+    fill = classes.filter("eighth is not null").withColumn("w", weight)
+    fill = fill.withColumns({"before": F.coalesce(F.sum("words").over(of.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "rest": F.sum(F.col("words") * F.col("w")).over(of.rowsBetween(0, W.unboundedFollowing))})
+    level = F.when(F.col("rest") > 0, F.greatest(F.col("target") - F.lit(float(cap)) * F.col("before"), F.lit(0.0)) / F.col("rest"))
+    fits = F.when(level * F.col("w") <= F.lit(float(cap)) * (1 + 1e-12), F.struct(F.col("before").alias("k"), level.alias("v")))
+    fill = fill.withColumn("level", F.min(fits).over(W.partitionBy("name"))["v"])
+    return fill.select("name", "eighth", F.least(F.lit(float(cap)), F.coalesce(F.col("level") * F.col("w"), F.lit(float(cap)))).alias("expected"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 11, weight_col: str | None = None, size_power: float = 0.0, bin_rows: int = 2000) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, expected, taken.
 
-    A document of size s is expected e = min(cap, ratio * its weight over the source's mean weight) times (weight_col; without one all
-    weigh the same), of which floor(e) copies are certain. The rest of the source's target is a Pareto sample: documents are ranked by
-    random odds over the odds of e - floor(e), and taken in that order while they fit into the words that remain; a long document that
-    doesn't fit is passed over, and `fill_passes` passes in the same order fill the room that is left. Randomness is a hash of seed and id.
-    The running sums are in two levels, within bins of the key and over the bins of a source, so no task holds a whole source.
+    A document's weight is weight_col (1 without one) times size ** size_power, to an eighth of an octave. It is expected to be taken in
+    proportion to its weight, cap times at most, so that a source's expected words are its target. The whole part of that are certain copies.
+    The rest of the target is a Pareto sample: documents are ranked by random odds over the odds of the fraction, and taken in that order
+    until the next doesn't fit. What room is then left is filled with the largest documents that fit, in the same order among equal sizes, until
+    nothing fits; a last one that is too large is taken if that comes nearer to the target. So a source misses its target by half the smallest
+    document with a copy left at most. Randomness is a hash of seed and id. Running sums are in two levels, within bins of the key and over the
+    bins of a source, so no task holds a whole source.
 
-    Null texts have size 0; a null source is a source. Documents of size 0 take 0. Repeated ids draw the same number. An empty table
-    gives an empty result.
+    Null texts have size 0; a null source is a source; a null or negative weight is 0. Documents of size or weight 0 take 0. Repeated ids draw
+    the same number. Other columns are not looked at. An empty table gives an empty result.
     """
-    weight = F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(whole(text_col)).alias("size"), weight.alias("weight")))
+    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(whole(text_col)).alias("size"), weight.alias("weight"))
+    weighed = F.col("weight") * F.pow(F.col("size").cast("double"), F.lit(float(size_power)))
+    rows = cut(rows.select("doc_id", "source", "size", F.when((F.col("weight") > 0) & (F.col("size") > 0), F.round(F.log2(weighed) * EIGHTHS).cast("int")).alias("eighth")))
     name = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighed"), F.count("*").alias("n"))
-    targets = source_targets(totals.select("source", "source_size"), weights, share, cap).withColumn("name", name)
-    per = cut(totals.withColumn("name", name).drop("source", "source_size").join(targets.drop("source"), "name"))
-    n, sources = rows.count(), per.count()
+    classes = cut(rows.groupBy("source", "eighth").agg(F.sum("size").alias("words"), F.count("*").alias("n")))
+    totals = classes.groupBy("source").agg(F.sum("words").alias("source_size"))
+    per = source_targets(totals, weights, share, cap).select(name.alias("name"), "source_size", "target")
+    expected = expected_copies(classes.withColumn("name", name).join(per.select("name", "target"), "name"), cap)
+    per = cut(per.join(expected.groupBy("name").agg(F.collect_list(F.struct("eighth", "expected")).alias("of")), "name", "left"))
+    sources, n = per.count(), classes.agg(F.sum("n")).first()[0] or 0
     bins = max(8, n // bin_rows)
     rows = rows.withColumn("name", name).join(small(per, sources), "name")
-    expected = F.least(F.lit(float(cap)), F.when(F.col("weighed") > 0, F.col("target") * F.col("weight") / F.col("weighed")).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("expected", F.coalesce(F.get(F.filter("of", lambda x: x["eighth"] == F.col("eighth")), F.lit(0))["expected"], F.lit(0.0)))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = rows.withColumns({"expected": expected}).withColumn("certain", F.floor(F.col("expected") + F.lit(1e-9)))
-    rows = rows.withColumn("key", pareto_key(u, F.when(F.col("certain") >= F.lit(cap), F.lit(0.0)).otherwise(F.col("expected") - F.col("certain"))))
-    # Bins of about equal size: the key times the odds of a document of average weight is about u / (1 - u).
+    rows = rows.withColumn("copies", F.floor(F.col("expected") + F.lit(1e-9)).cast("int"))
+    rows = rows.withColumn("key", pareto_key(u, F.col("expected") - F.col("copies")))
+    # Bins of about equal size: the key times the odds of a usual document is about u / (1 - u).
     usual = F.least(F.lit(float(cap)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
     usual = F.least(F.greatest(usual - F.floor(usual), F.lit(1e-6)), F.lit(1 - 1e-6))
     level = F.col("key") * usual / (1 - usual)
-    rows = rows.withColumns({"bin": F.when(level < float("inf"), F.least(F.floor(level / (1 + level) * bins), F.lit(bins - 1))).otherwise(F.lit(bins - 1)).cast("int"), "extra": F.lit(0)})
-    rows = cut(rows.select("doc_id", "source", "name", "size", "source_size", "target", "expected", "certain", "key", "bin", "extra"))
-    for _ in range(fill_passes):
-        rows = cut(_filled(rows, cap, sources))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "expected", (F.col("size") * (F.col("certain") + F.col("extra"))).cast("long").alias("taken"))
+    rows = rows.withColumn("bin", F.when(level < float("inf"), F.least(F.floor(level / (1 + level) * bins), F.lit(bins - 1))).otherwise(F.lit(bins - 1)).cast("int"))
+    rows = cut(rows.select("doc_id", "source", "name", "size", "source_size", "target", "expected", "eighth", "copies", "key", "bin"))
+    rows = cut(_sampled(rows, sources))
+    rows = _filled(rows, cap, sources)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "expected", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-def _filled(rows: DataFrame, cap: float, sources: int) -> DataFrame:
-    """One pass: in the order of the key, documents that fit are taken as long as all taken before them fit too."""
-    room = rows.groupBy("name").agg(F.max("target").alias("t"), F.sum(F.col("size") * (F.col("certain") + F.col("extra"))).alias("has")).select("name", (F.col("t") - F.col("has")).alias("room"))
-    rows = rows.join(small(room, sources), "name")
-    may = (F.col("extra") == 0) & (F.col("certain") + 1 <= F.lit(cap)) & (F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("key") < float("inf"))
+def _room(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("name").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("room"))
+
+
+def _sampled(rows: DataFrame, sources: int) -> DataFrame:
+    """One more copy of the documents before the first that doesn't fit, in the order of the key; such as never could fit are passed over."""
+    rows = rows.join(small(_room(rows), sources), "name")
+    may = (F.col("key") < float("inf")) & (F.col("size") <= F.col("room"))
     rows = rows.withColumn("bid", F.when(may, F.col("size")).otherwise(F.lit(0)))
     by_bin = rows.groupBy("name", "bin").agg(F.sum("bid").alias("in_bin"))
     before = by_bin.withColumn("before", F.coalesce(F.sum("in_bin").over(W.partitionBy("name").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("in_bin")
     rows = rows.join(before, ["name", "bin"])
     within = F.sum("bid").over(W.partitionBy("name", "bin").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0))
     took = (F.col("bid") > 0) & (F.col("before") + within <= F.col("room"))
-    return rows.withColumn("extra", F.when(took, F.lit(1)).otherwise(F.col("extra"))).drop("room", "bid", "before")
+    return rows.withColumn("copies", F.col("copies") + F.when(took, F.lit(1)).otherwise(F.lit(0))).drop("room", "bid", "before")
+
+
+def _filled(rows: DataFrame, cap: float, sources: int) -> DataFrame:
+    """One more copy of documents that fill what room is left: how many of each size is found on the sizes' counts alone, which are few."""
+    levels = int(cap)
+    left = F.lit(levels) - F.col("copies")
+    may = F.col("eighth").isNotNull() & (F.col("size") > 0) & (left > 0)
+    sizes = rows.filter(may).groupBy("name", "size").agg(F.sum(left).cast("long").alias("n")).join(_room(rows), "name")
+    # Larger sizes than the room, but for the smallest of them, can't be used.
+    within = sizes.filter("size <= room").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("size", "n")), False).alias("sizes"))
+    beyond = sizes.groupBy("name").agg(F.max("room").alias("room"), F.min(F.when(F.col("size") > F.col("room"), F.col("size"))).alias("over"))
+    fill = beyond.join(within, "name", "left")
+    kind = "array<struct<size:bigint,k:bigint>>"
+
+    def step(a, s):
+        k = F.least(s["n"], F.floor(F.greatest(a["room"], F.lit(0.0)) / s["size"])).cast("long")
+        more = F.when(k > 0, F.concat(a["took"], F.array(F.struct(s["size"].cast("long").alias("size"), k.alias("k"))))).otherwise(a["took"])
+        # The smallest document of which one is left is the last that comes.
+        return F.struct((a["room"] - k * s["size"]).alias("room"), more.alias("took"), F.when(s["n"] > k, s["size"].cast("long")).otherwise(a["left"]).alias("left"))
+
+    start = F.struct(F.col("room").cast("double").alias("room"), F.array().cast(kind).alias("took"), F.col("over").cast("long").alias("left"))
+    fill = fill.select("name", F.aggregate(F.coalesce("sizes", F.array().cast("array<struct<size:bigint,n:bigint>>")), start, step).alias("f"))
+    one = F.when(2 * F.col("f.room") > F.col("f.left"), F.array(F.struct(F.col("f.left").alias("size"), F.lit(1).cast("long").alias("k")))).otherwise(F.array().cast(kind))
+    wanted = fill.select("name", F.explode(F.concat("f.took", one)).alias("t")).groupBy("name", F.col("t.size").alias("size")).agg(F.sum("t.k").alias("k"))
+    wanted = cut(wanted)
+    rows = rows.join(small(wanted, wanted.count()), ["name", "size"], "left")
+    chosen = rows.filter(may & F.col("k").isNotNull())
+    # First one copy of each, in the order of the key, then a second of those that have one left, and so on.
+    has = [F.when(left > j, F.lit(1)).otherwise(F.lit(0)) for j in range(levels)]
+    in_bin = chosen.groupBy("name", "size", "bin").agg(*[F.sum(h).alias(f"n{j}") for j, h in enumerate(has)])
+    of = W.partitionBy("name", "size")
+    before, above = [], F.lit(0)
+    for j in range(levels):
+        before.append((above + F.coalesce(F.sum(f"n{j}").over(of.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias(f"before{j}"))
+        above = above + F.sum(f"n{j}").over(of)
+    chosen = chosen.join(in_bin.select("name", "size", "bin", *before), ["name", "size", "bin"])
+    within = W.partitionBy("name", "size", "bin").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    gets = [F.when((h == 1) & (F.col(f"before{j}") + F.sum(h).over(within) <= F.col("k")), 1).otherwise(0) for j, h in enumerate(has)]
+    chosen = chosen.withColumn("copies", F.col("copies") + sum(gets[1:], gets[0])).drop(*[f"before{j}" for j in range(levels)])
+    return chosen.unionByName(rows.filter(~(may & F.col("k").isNotNull())))

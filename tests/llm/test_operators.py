@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltworks.llm import anchors, chat_format, decontamination, exact_dedup, html_extract, induced_sort, mixing, near_dedup, suffix_trees, toxicity
+from siltworks.llm import anchors, chat_format, decontamination, exact_dedup, induced_sort, near_dedup, suffix_trees
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -116,50 +116,6 @@ def test_exact_dedup_null_ids(spark):
     assert got == [(-1, -1, False), (-1, -1, True), (-1, 2, False), (2, 2, True)]
 
 
-# 4
-
-
-def test_mixing(spark, docs, mixture, empty):
-    rows = mixing.mixed(docs).collect()
-    sizes = defaultdict(int)
-    for _, t, s in mixture:
-        sizes[s] += len(WORD.findall(t or ""))
-    order = sorted((s for s in sizes if s is not None)) + [None]
-    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
-    target, open_, left = {}, set(sizes), 1.5 * sum(sizes.values())
-    while True:  # share by weight, cap, share what is above again
-        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
-        over = {s for s in open_ if share[s] > 2 * sizes[s]}
-        if not over:
-            target |= share
-            break
-        for s in over:
-            target[s], left = 2 * sizes[s], left - 2 * sizes[s]
-        open_ -= over
-    taken = defaultdict(int)
-    for r in rows:
-        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source])
-        assert r.taken in (0, r.size, 2 * r.size)
-        taken[r.source] += r.taken
-    for s in sizes:
-        assert taken[s] <= target[s] + 1e-6
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mixed(docs.repartition(5)).collect()))
-    assert mixing.mixed(empty).count() == 0
-
-
-def test_mixing_comes_near(spark):
-    rng = np.random.default_rng(1)
-    rows = [(i, "w " * int(n), f"s{i % 4}") for i, n in enumerate(rng.integers(1, 60, 4000))]
-    got = mixing.mixed(frame(spark, rows), bin_rows=100).groupBy("source").agg(F.sum("taken").alias("a"), F.max("target").alias("t")).collect()
-    assert all(abs(r.a - r.t) <= 0.005 * r.t for r in got)
-
-
-def test_pareto_prefers_weight(spark):
-    rows = spark.createDataFrame([(i, "w", "a", 4.0 if i % 2 else 1.0) for i in range(4000)], "doc_id long, text string, source string, q double")
-    got = mixing.mixed(rows, share=0.3, weight_col="q").groupBy(F.col("doc_id") % 2).agg(F.sum("taken").alias("a")).orderBy("(doc_id % 2)").collect()
-    assert sum(r.a for r in got) == 1200 and 3.3 < got[1].a / got[0].a < 4.7
-
-
 # 5
 
 
@@ -202,28 +158,6 @@ def test_byte_dedup(docs, mixture, empty, monkeypatch, hot):
 # 6
 
 
-def test_html():
-    weights = html_extract.learnt([f"<nav><a>home</a><li>x</li></nav><article><h1>T{i}</h1><p>many words of an article go here</p><p>and here</p></article><footer>bye</footer>" for i in range(5)])
-    assert weights["w"] > 0 and all(v < 0 for k, v in weights.items() if k != "w")
-    page = """<html><head><title>no</title><script>if (a<b) {"<p>no</p>"}</script><style>p{}</style></head><body><header><a>Site</a></header><nav><ul><li><a>menu</a></li></ul></nav>
-    <div class="cookie-notice">We use cookies here and there and everywhere all of the time</div><article><h1>A &amp; B</h1><p><b>First   part,<br>with&nbsp;more words than a menu has.
-    </p><aside>related stuff that nobody needs to read at all</aside><p>1 &lt; 2 is true, and words follow it.</p><form><input value="x"><button>Send</button></form><div class="ad-box">buy buy buy now</div>
-    <p>The last paragraph has words too.</p></article><section id="comments"><p>A reader says that this is a very good article, thanks a lot for it</p></section><footer>&copy; us</footer></body></html>"""
-    text = "A & B\nFirst part, with more words than a menu has.\n1 < 2 is true, and words follow it.\nThe last paragraph has words too."
-    assert html_extract.main_text(page, weights) == text
-    plain = page.replace("<article>", '<div id="main">').replace("</article>", "</div>")
-    assert html_extract.main_text(plain, weights) == text
-    assert html_extract.main_text(None, weights) == html_extract.main_text("", weights) == html_extract.main_text("<p><div><", weights).strip("<") == ""
-    for odd in ("<p>" * 5000 + "x", "<!-- " * 2000, "<a " * 5000, "</div>" * 3000 + "word", "<script>" * 2000, "&#xZZ;&amp" * 2000):
-        html_extract.main_text(odd, weights)
-
-
-def test_html_query(spark):
-    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "v", "<article><p>words of one page</p></article>")], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_extract.extracted(pages, html_extract.train(pages)).collect()}
-    assert got == {1: "", 2: "", 3: "words of one page"}
-
-
 # 7
 
 
@@ -250,43 +184,6 @@ def test_substring_dedup(docs, mixture, empty, monkeypatch, hot):
     assert suffix_trees.substring_dedup(empty).count() == 0
 
 
-# 8
-
-
-def test_toxicity(spark, empty):
-    rng = np.random.default_rng(8)
-    insults = ["blockhead", "nitwit", "dunce"]
-    rows, marks = [], []
-    for i in range(600):
-        words = sentence(rng, int(rng.integers(10, 60))).split()
-        if i % 3 == 0:
-            words.insert(int(rng.integers(0, len(words))), insults[int(rng.integers(0, 3))])
-        rows.append((i, " ".join(words), "s"))
-        marks.append((i, int(i % 3 == 0)))
-    rows += [(1000, None, "s"), (1001, "", "s"), (1002, "x " * 50_000 + "nitwit", "s"), (1003, "you n i t w i t", "s"), (1004, "a block-head!", "s"), (1005, "some blockxhead", "s")]
-    docs = frame(spark, rows)
-    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
-    model = toxicity.train(docs, labels)
-    got = {r.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
-    held = {r.doc_id for r in docs.filter(toxicity.held_out(F.col("doc_id"))).collect() if r.doc_id < 600}
-    right = [(got[i] >= toxicity.REJECT) == (i % 3 == 0) for i in held]
-    assert len(held) > 150 and np.mean(right) > 0.97
-    assert got[1000] == got[1001] < 0.3 and all(got[i] >= toxicity.REJECT for i in (1002, 1003, 1004, 1005))
-    assert toxicity.without_toxic(docs, model).count() == sum(s < toxicity.REJECT for s in got.values())
-    assert toxicity.scored(empty, model).count() == 0
-    none = toxicity.train(docs, labels.filter("false"))
-    assert toxicity.scored(docs, none).filter("score >= 0.7").count() == 0
-
-
-def test_folded_scores_equal_kernel_sums():
-    """The weights folded over landmarks give the same as the sum over landmarks."""
-    words, marks = ["idiot", "idxiot", "other", "ab"], ["idiot", "moron"]
-    phi = toxicity.feature_matrix(marks)
-    alpha = np.array([0.7, -0.2])
-    direct = (toxicity.feature_matrix(words).T @ phi) @ alpha
-    assert toxicity.line(words, (phi @ alpha).astype(np.float32)) == pytest.approx(direct, abs=1e-5)
-
-
 # 9
 
 
