@@ -25,16 +25,18 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
+#: What stands in a role for characters that could end it or begin a control string. The sign of the marks itself comes first.
+MARKS = {"%": "%25", "|": "%7C", "\n": "%0A", "<": "%3C", "[": "%5B"}
+
+
 def _role(role: Column) -> Column:
-    """A role on one line, without the strings that end it."""
-    for a, b in (("\\", "\\\\"), ("|", "\\p"), ("\n", "\\n")):
-        role = F.replace(role, F.lit(a), F.lit(b))
-    return role
+    """A role on one line, without the strings that end it and without control strings."""
+    return reduce(lambda c, ab: F.replace(c, F.lit(ab[0]), F.lit(ab[1])), MARKS.items(), role)
 
 
 def _unrole(role: Column) -> Column:
-    # A doubled backslash is set aside first, so that what follows it isn't read as a mark.
-    return reduce(lambda c, ab: F.replace(c, F.lit(ab[0]), F.lit(ab[1])), (("\\\\", "\x00"), ("\\p", "|"), ("\\n", "\n"), ("\x00", "\\")), role)
+    # The sign itself comes last, so that what it brings back isn't read as a mark.
+    return reduce(lambda c, ab: F.replace(c, F.lit(ab[1]), F.lit(ab[0])), reversed(MARKS.items()), role)
 
 
 def root_to_leaf(messages: DataFrame, most_paths: int | None = None) -> DataFrame:
@@ -43,24 +45,31 @@ def root_to_leaf(messages: DataFrame, most_paths: int | None = None) -> DataFram
     Self-joins double the reach of every leaf: in round k each known ancestor of a leaf is joined with its own ancestor 2^k steps up, so a
     path of d messages takes log2(d) rounds. Paths are ranked within their tree by the sum of their scores, then by leaf. most_paths keeps
     the best of each tree (a top-k, the operator's feature); None keeps all. A parent that isn't in the tree makes a root. Null scores
-    count as 0. Cycles have no root and so no path.
+    count as 0. Cycles have no root, so neither they nor what hangs below them have a path. Of rows that repeat a node one must be chosen
+    before.
+
+    The jumps come first: which node is 2^k steps above a node. If as many nodes have a jump of 2^(k+1) as have one of 2^k, none has a depth
+    between, so none has a larger one, and all that are left are on or below cycles; so cycles never cost more rounds than paths do.
     """
     nodes = messages.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     inner = nodes.select("tree", F.col("parent").alias("node")).filter("node is not null").distinct()
-    jump = nodes.join(nodes.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"))
-    # A hot tree is many (tree, node) keys, so its rows spread over the tasks.
-    reach = cut(nodes.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("height")))
-    jump, step, most = cut(jump), 1, nodes.count()
-    roots = nodes.join(jump, ["tree", "node"], "left_anti").select("tree", "node")
-    while step <= most:  # a path has no more messages than there are; only cycles would go on
-        higher = cut(reach.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + step).alias("height")))
-        if higher.isEmpty():
+    jumps = [cut(nodes.join(nodes.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")))]
+    counts, cyclic = [jumps[0].count()], None
+    while counts[-1]:
+        then = jumps[-1].select("tree", F.col("node").alias("up"), F.col("up").alias("upper"))
+        jumps.append(cut(jumps[-1].join(then, ["tree", "up"]).select("tree", "node", F.col("upper").alias("up"))))
+        counts.append(jumps[-1].count())
+        if counts[-1] == counts[-2]:
+            cyclic = jumps[-1].select("tree", "node")
             break
-        reach = cut(reach.unionByName(higher))
-        then = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("upper"))
-        jump = cut(jump.join(then, ["tree", "up"]).select("tree", "node", F.col("upper").alias("up")))
-        step *= 2
-    reach = reach.join(reach.join(roots, ["tree", "node"]).select("tree", "leaf").distinct(), ["tree", "leaf"], "left_semi")
+    # A hot tree is many (tree, node) keys, so its rows spread over the tasks.
+    leaves = nodes.join(inner, ["tree", "node"], "left_anti")
+    leaves = leaves if cyclic is None else leaves.join(cyclic, ["tree", "node"], "left_anti")
+    reach = cut(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("height")))
+    for k, (jump, n) in enumerate(zip(jumps, counts)):
+        if n:
+            higher = reach.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("height") + (1 << k)).alias("height"))
+            reach = cut(reach.unionByName(higher))
     scored = reach.join(nodes.select("tree", "node", "score"), ["tree", "node"])
     paths = scored.groupBy("tree", "leaf").agg(F.max("height").alias("top"), F.sum("score").alias("path_score"))
     paths = paths.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
