@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, whole
+from .common import cut, fresh, whole
 
 #: Names by which a person's gender is known, and titles; lower case is not matched.
 FEMALE = ("Mary", "Anna", "Emma", "Laura", "Julia", "Sarah", "Linda", "Susan", "Elizabeth", "Jennifer", "Maria", "Sofia", "Camille", "Claire", "Lucía", "Carmen", "Katharina", "Ingrid", "Анна", "Мария", "Ольга", "Елена", "Наталья")
@@ -32,6 +32,8 @@ _CAP = r"\p{Lu}[\p{L}'’-]{1,40}"
 _TITLE = rf"(?:{'|'.join((*MS, *MR, *ANY))})\.?"
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Words after which two capitalised words are a person's name.
+CUES = ("my name is", "name is", "Name:", "named", "je m'appelle", "ich heiße", "me llamo", "mi nombre es", "меня зовут", "signed by", "Dear", "Liebe", "Lieber", "Cher", "Chère", "Querido", "Querida")
 #: Kinds in order of precedence: what stands around the entity, and the entity. Repetitions are bounded or possessive, so time is linear.
 KINDS: dict[str, tuple[str, str, str]] = {
     "email": (r"(?<![\p{L}\p{N}._%+-])", r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}", ""),
@@ -42,13 +44,13 @@ KINDS: dict[str, tuple[str, str, str]] = {
     "ip": (r"(?<![\d.])", rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"(?!\.?\d)"),
     "card": (r"(?<!\d)", r"(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{13,19})", r"(?!\d)"),
     "phone": (r"(?<![\p{L}\p{N}+])", r"(?:(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[.-]\d{3,4}|(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3} )\d{3,4} \d{4}|\+\d{1,3}(?:[ .-]?\(?\d{2,8}\)?){1,5})", r"(?!\d)"),
-    "name": (_B, rf"(?:{_TITLE} {_CAP}(?: {_CAP})?|(?:{'|'.join((*FEMALE, *MALE))}) {_CAP})", r"(?!\p{L})"),
+    "name": (_B, rf"(?:{_TITLE} {_CAP}(?: {_CAP})?|(?:{'|'.join((*FEMALE, *MALE))}) {_CAP}|(?<=(?:{'|'.join(CUES)}) ){_CAP} {_CAP})", r"(?!\p{L})"),
     "han": ("", rf"[{HAN_FAMILY}]\p{{IsHan}}{{0,2}}?(?:{'|'.join((*HAN_MS, *HAN_MR))})", ""),
 }
 PATTERN = "|".join(f"(?:{a}{p}{z})" for a, p, z in KINDS.values())
 
 #: Cheap conditions of which every entity meets one, so that most clean texts are passed over without the long pattern.
-HINTS = (r"[0-9@]|:[a-fA-F]{1,4}:|[a-fA-F]{32}|sk-|gh[pousr]_|AKIA|" + "|".join((*HAN_MS, *HAN_MR)), rf"(?=\p{{Lu}}){_B}(?:{'|'.join((*MS, *MR, *ANY, *FEMALE, *MALE))})[. ]")
+HINTS = (r"[0-9@]|:[a-fA-F]{1,4}:|[a-fA-F]{32}|sk-|gh[pousr]_|AKIA|" + "|".join((*HAN_MS, *HAN_MR)), rf"(?=\p{{Lu}}){_B}(?:{'|'.join((*MS, *MR, *ANY, *FEMALE, *MALE))})[. ]|(?:{'|'.join(CUES)}) \p{{Lu}}")
 
 #: Draws after which a surrogate gets longer; draws after which the job ends, which only kinds of fixed length could reach; copies of the table of surrogates for joins with hot values.
 WIDEN, MOST_DRAWS, SALTS = 6, 60, 8
@@ -66,7 +68,7 @@ def entities(text: Column) -> Column:
         return F.struct(pos.alias("pos"), F.lit(comp).alias("comp"), kind.alias("kind"), before.alias("before"), raw.alias("raw"))
 
     def parts(raw, pos):
-        one = F.coalesce(*[F.when(raw.rlike(f"^(?:{p})$"), F.lit(k)) for k, (_, p, _) in KINDS.items()])
+        one = F.coalesce(*[F.when(raw.rlike(f"^(?:{p})$"), F.lit(k)) for k, (_, p, _) in KINDS.items()], F.when(raw.rlike(f"^{_CAP} {_CAP}$"), F.lit("name")))
         head, rest = F.regexp_extract(raw, title, 1), F.regexp_extract(raw, title, 2)
         given, family = F.regexp_extract(rest, last, 1), F.regexp_extract(rest, last, 2)
         known = F.when(given.isin(*FEMALE), "f").when(given.isin(*MALE), "m")
@@ -210,18 +212,22 @@ def _written(kind: Column, raw: Column, sur: Column) -> Column:
     return F.when(kind == "keep", raw).when(kind.isin("card", "phone", "ssn", "iban"), filled).when(kind == "secret", sur).otherwise(cased)
 
 
-def pii_surrogates(docs: DataFrame, key: str = "siltworks", text_col: str = "text") -> DataFrame:
+def pii_surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with surrogates in text_col, and two more columns: pii_count (entities replaced, long) and pii_kinds (their kinds, sorted).
 
     Finds e-mail addresses, keys and tokens, account numbers, IPv4 and whole IPv6 addresses, social security, card and phone numbers, and
     names after a title or a known first name (Latin, Cyrillic), or before a Chinese title. A found family name of letters is also replaced
-    where it stands alone in the same text. `key` is the secret on which all surrogates depend; the default is for tests. Null texts stay
+    where it stands alone in the same text. `key` is the secret on which all surrogates depend; who has it can tell values from surrogates by
+    trying them, so it must not be empty. Null texts stay
     null, empty and clean texts as they are; copies and repeated rows get the same text; an empty table stays empty. Other columns pass
     through, but pii_count and pii_kinds are replaced where docs has them.
 
     What a text gets depends on the text, so parts are kept by a digest of it and copies are one. The table of surrogates is copied SALTS
     times, so that the places of a value found everywhere spread over as many tasks. Only texts with entities move.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
+    the_k, the_parts, the_alone, the_gaps = (fresh(docs, n) for n in ("k", "parts", "alone", "gaps"))
     names = [c for c in docs.columns if c.lower() not in ("pii_count", "pii_kinds")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     text = whole(text_col)
@@ -234,15 +240,15 @@ def pii_surrogates(docs: DataFrame, key: str = "siltworks", text_col: str = "tex
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     placed = parts.withColumn("salt", F.pmod(F.xxhash64("k", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["kind", "canon", "salt"], "left")
     placed = placed.select("k", F.struct("pos", "comp", "kind", "before", "raw", _written(F.col("kind"), F.col("raw"), F.col("sur")).alias("out")).alias("p"))
-    per_text = cut(placed.groupBy("k").agg(F.sort_array(F.collect_list("p")).alias("__parts")).withColumnRenamed("k", "__k"))
+    per_text = cut(placed.groupBy("k").agg(F.sort_array(F.collect_list("p")).alias(the_parts)).withColumnRenamed("k", the_k))
 
-    alone = F.map_from_entries(F.array_distinct(F.transform(F.filter("__parts", lambda p: p["kind"] == "last"), lambda p: F.struct(p["raw"], p["out"]))))
+    alone = F.map_from_entries(F.array_distinct(F.transform(F.filter(the_parts, lambda p: p["kind"] == "last"), lambda p: F.struct(p["raw"], p["out"]))))
     words = lambda g: F.split(g, r"(?<!\p{L})(?=\p{L})|(?<=\p{L})(?!\p{L})", -1)
-    gap = lambda g: F.when(F.size("__alone") > 0, F.array_join(F.transform(words(g), lambda w: F.coalesce(F.try_element_at("__alone", w), w)), "")).otherwise(g)
-    whole_text = F.concat(F.array_join(F.transform("__parts", lambda p: F.concat(F.when(p["comp"] == 0, F.get("__gaps", p["pos"])).otherwise(F.lit("")), p["before"], p["out"])), ""), F.element_at("__gaps", -1))
-    count = F.size(F.filter("__parts", lambda p: p["comp"] == 0)).cast("long")
-    kinds = F.array_sort(F.array_distinct(F.transform(F.filter("__parts", lambda p: p["kind"] != "keep"), lambda p: F.when(p["kind"].startswith("first_") | (p["kind"] == "last"), F.lit("name")).otherwise(p["kind"]))))
-    joined = found.withColumn("__k", digest).join(per_text, "__k").withColumns({"__alone": alone, "__gaps": F.split(text, PATTERN, -1)})
-    joined = joined.withColumn("__gaps", F.transform("__gaps", gap))
+    gap = lambda g: F.when(F.size(the_alone) > 0, F.array_join(F.transform(words(g), lambda w: F.coalesce(F.try_element_at(the_alone, w), w)), "")).otherwise(g)
+    whole_text = F.concat(F.array_join(F.transform(the_parts, lambda p: F.concat(F.when(p["comp"] == 0, F.get(the_gaps, p["pos"])).otherwise(F.lit("")), p["before"], p["out"])), ""), F.element_at(the_gaps, -1))
+    count = F.size(F.filter(the_parts, lambda p: p["comp"] == 0)).cast("long")
+    kinds = F.array_sort(F.array_distinct(F.transform(F.filter(the_parts, lambda p: p["kind"] != "keep"), lambda p: F.when(p["kind"].startswith("first_") | (p["kind"] == "last"), F.lit("name")).otherwise(p["kind"]))))
+    joined = found.withColumn(the_k, digest).join(per_text, the_k).withColumns({the_alone: alone, the_gaps: F.split(text, PATTERN, -1)})
+    joined = joined.withColumn(the_gaps, F.transform(the_gaps, gap))
     changed = joined.select(*[whole_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], count.alias("pii_count"), kinds.alias("pii_kinds"))
     return docs.filter(~has_entity(text)).select("*", *none).unionByName(changed)

@@ -10,7 +10,7 @@ from siltworks.llm.pii import luhn, mod97, pii_surrogates
 
 def replaced(spark, texts, **options):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    return [r.text for r in pii_surrogates(docs, **options).orderBy("doc_id").collect()]
+    return [r.text for r in pii_surrogates(docs, KEY, **options).orderBy("doc_id").collect()]
 
 
 def test_values_go_and_the_rest_stays(spark):
@@ -61,7 +61,7 @@ def test_edges(spark, column):
     rows = [(1, None, "a"), (2, "", "b"), (3, "x" * 200_000, "c"), (None, "é1.2.3.4漢 " * 300, None), (5, "a@b.example.com", "d"), (5, "a@b.example.com", "d"), (6, "a." * 50_000 + "@" + "b." * 50_000, "e"), (7, "$1 \\ a@b.example.com $0", None)]
     schema = f"doc_id long, {column} string, k string, canon string, pii_count string, `a.b` int"
     docs = spark.createDataFrame([(i, t, k, k, k, 1) for i, t, k in rows], schema)
-    got = pii_surrogates(docs, text_col=column)
+    got = pii_surrogates(docs, KEY, text_col=column)
     assert set(got.columns) == {"doc_id", column, "k", "canon", "pii_count", "pii_kinds", "a.b"}
     out = got.collect()
     assert len(out) == len(rows) and sum(r.doc_id == 5 for r in out) == 2 and len({r[column] for r in out if r.doc_id == 5}) == 1
@@ -69,4 +69,4 @@ def test_edges(spark, column):
     assert by_id[1][column] is None and by_id[2][column] == "" and by_id[3][column] == rows[2][1] and by_id[3].pii_count == 0
     assert by_id[None].pii_count == 300 and "1.2.3.4" not in by_id[None][column]
     assert by_id[7][column].startswith("$1 \\ ") and by_id[7][column].endswith(" $0") and by_id[7][column][5:-3] == by_id[5][column]
-    assert pii_surrogates(docs.limit(0), text_col=column).count() == 0
+    assert pii_surrogates(docs.limit(0), KEY, text_col=column).count() == 0

@@ -8,7 +8,7 @@ from siltworks.llm.pii import pii_surrogates
 def test_short_phones_and_addresses_without_free_values(spark):
     texts = [f"+1{n:02d}" for n in range(100)] + [f"+1-{n}" for n in range(200, 260)] + [f"0:0:0:0:0:0:{n // 10}:{n % 10}" for n in range(20)] + ["+1 (00)"]
     docs = spark.createDataFrame([(i, f"call {t} now") for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    out = {r.doc_id: r for r in pii_surrogates(docs).collect()}
+    out = {r.doc_id: r for r in pii_surrogates(docs, "a key").collect()}
     got = [re.fullmatch("call (.*) now", out[i].text)[1] for i in range(len(texts))]
     assert all(out[i].pii_count == 1 for i in range(len(texts)))
     bare = [re.sub("[^0-9a-f:]", "", v) for v in got]
