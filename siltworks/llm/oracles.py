@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from .chat_format import CONTROL
 
-#: The masks of OP10, which is the stated SQL: the operator's own hit more alignments.
-MASKS = ("110110101101", "111010010111", "101101110011")
 WORDS = r"[x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> '']"
 
 OP1 = rf"""
@@ -26,7 +24,7 @@ from t group by conv_id
 OP3 = r"""
 with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as h from documents),
 g as (select h, min(doc_id) as keep_id, count(*) as n from t group by h)
-select t.doc_id as doc_id, g.keep_id as keep_id, g.n as group_size, t.doc_id = g.keep_id as kept, t.h as text_sha256 from t join g using (h)
+select t.doc_id as doc_id, g.keep_id as keep_id, g.n as group_size, t.doc_id is not distinct from g.keep_id and row_number() over (partition by t.h, t.doc_id) = 1 as kept, t.h as text_sha256 from t join g using (h)
 """
 
 OP5 = """
@@ -73,23 +71,16 @@ from d join x on x.t = d.t join k on k.id = x.id left join c on c.id = x.id
 """
 
 
-def _seed(mask: str) -> str:
-    return "array_to_string([" + ", ".join(f"w[i + {k}]" for k, c in enumerate(mask) if c == "1") + "], ' ')"
-
-
-def _seeds(source: str, key: str) -> str:
-    n = len(MASKS[0])
-    places = f"(select {key}, w, unnest(generate_series(1, len(w) - {n - 1})) as i from {source} where len(w) >= {n})"
-    return " union all ".join(f"select {key}, i, {k} as m, {_seed(mask)} as s from {places}" for k, mask in enumerate(MASKS))
-
-
 _TOKENS = r"[x for x in string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') if x <> '']"
+#: No seeds here, but every alignment of an item with a document in which tokens are equal.
 OP10 = f"""
 with d as (select doc_id, {_TOKENS} as w from documents), b as (select item_id, {_TOKENS} as w from benchmark),
-ds as ({_seeds("d", "doc_id")}), bs as ({_seeds("b", "item_id")}),
-h as (select distinct ds.doc_id, bs.item_id, ds.i - bs.i as shift from ds join bs using (m, s)),
-a as (select h.doc_id, h.item_id, h.shift, b.w as item, [case when j + h.shift between 1 and len(d.w) and d.w[greatest(1, j + h.shift)] = b.w[j] then 1 else 0 end for j in generate_series(1, len(b.w))] as same from h join d using (doc_id) join b using (item_id)),
-v as (select doc_id, item_id, max(list_max([list_sum(same[j:j + 11]) for j in generate_series(1, len(same) - 11)])::double / 12) as agreement from a group by all),
+dt as (select doc_id, i, hash(w[i]) as t from (select doc_id, w, unnest(generate_series(1, len(w))) as i from d)),
+bt as (select item_id, len(w) as n, j, hash(w[j]) as t from (select item_id, w, unnest(generate_series(1, len(w))) as j from b)),
+m as (select dt.doc_id, bt.item_id, bt.n, bt.j, dt.i - bt.j as shift from dt join bt using (t)),
+k as (select doc_id, item_id, shift from m group by all having count(*) >= least(10, ceil(0.8 * any_value(n)))),
+c as (select doc_id, item_id, n, count(*) over (partition by doc_id, item_id, shift order by j range between current row and 11 following) as c from m join k using (doc_id, item_id, shift)),
+v as (select doc_id, item_id, max(c::double / least(n, 12)) as agreement from c group by all),
 f as (select doc_id, string_agg(item_id::varchar, ',' order by item_id) as items, max(agreement) as agreement from v where agreement >= 0.8 group by 1)
 select d.doc_id as doc_id, coalesce(f.items, '') as items, coalesce(f.agreement, 0.0) as agreement, f.doc_id is not null as contaminated from d left join f using (doc_id)
 """
