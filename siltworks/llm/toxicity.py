@@ -250,8 +250,8 @@ def stem_odds(bags: Bags, toxic: np.ndarray, nt: int, nn: int) -> np.ndarray:
         for b, y in zip(bags.bags, toxic):
             s = np.unique(stem[b])
             count[int(y), s[s >= 0]] += 1
-        value = np.sqrt(count[1]) * np.maximum(0, odds(count[1], count[0], nt, nn))
-        best = np.maximum(best, np.where(stem >= 0, value[stem], -np.inf))
+        value = np.append(np.sqrt(count[1]) * np.maximum(0, odds(count[1], count[0], nt, nn)), -np.inf)  # the last is for words without such a stem
+        best = np.maximum(best, value[stem])
     return best
 
 

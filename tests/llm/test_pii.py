@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from siltworks.llm.pii import luhn, mod97, pii_surrogates
 
 
+KEY = "a key"
+
+
 def replaced(spark, texts, **options):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     return [r.text for r in pii_surrogates(docs, KEY, **options).orderBy("doc_id").collect()]
