@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .anchors import Rolling, _arrow, texts_of, word_units
-from .common import cut, small, whole
+from .anchors import Rolling, _arrow, word_units
+from .common import BROADCAST_ROWS, cut, fresh, small, whole
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, IN_BAND = 24, 3  # a linked pair shares no band with probability 3e-8 at the threshold, and less above
 HASHES, STEP, TOLERANCE = BANDS * IN_BAND, 12, 1e-6
-TILE = 512
+#: Classes and shingles of a tile (one class may have more); tiles from which on a bucket is numbered in slices.
+TILE, TILE_SHINGLES, SLICE = 512, 2_000_000, 16
 MULTIPLY = np.random.default_rng(9).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 ADD = np.random.default_rng(10).integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
@@ -62,15 +63,19 @@ def least_agreements(threshold: float = THRESHOLD, tolerance: float = TOLERANCE)
     return out
 
 
-SKETCH = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("first_id", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("signature", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("signature", T.BinaryType())])
 
 
-def sketches(different: DataFrame) -> DataFrame:
-    """(key, first_id, copies, signature) of every different text; the signature is null for texts of fewer than WORDS words."""
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, first_id, copies, size, signature) of every different text; size is the number of shingles, and the signature is null for texts of
+    fewer than WORDS words. Every row's text is sketched where it is, so that sketches move and not texts."""
+    text = whole(text_col)
+    rows = docs.select(F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), text.alias("text"))
 
     def run(batches):
         for b in batches:
             out: list[bytes | None] = []
+            sizes: list[int] = []
             held: list[np.ndarray] = []
             where: list[int] = []
 
@@ -84,6 +89,7 @@ def sketches(different: DataFrame) -> DataFrame:
             for text in b.column("text").cast(pa.binary()).to_pylist():
                 got = shingles(text)
                 out.append(None)
+                sizes.append(len(got))
                 if len(got):
                     held.append(got)
                     where.append(len(out) - 1)
@@ -92,19 +98,28 @@ def sketches(different: DataFrame) -> DataFrame:
                     flush()
                     size = 0
             flush()
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("first_id"), b.column("copies"), pa.array(out, pa.binary())], schema=_arrow(SKETCH))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("id"), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], schema=_arrow(SKETCH))
 
-    return different.select("key", "text", "first_id", "copies").mapInArrow(run, SKETCH)
+    return rows.mapInArrow(run, SKETCH).groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"))
 
 
 def tiles(sketch: DataFrame) -> DataFrame:
     """(band, bucket, a, b, side, key, signature): each class of a bucket in every pair of tiles (a <= b) that holds its own tile."""
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.col("signature"), i * (2 * IN_BAND) + 1, F.lit(2 * IN_BAND))))
-    rows = sketch.filter("signature is not null").select("key", band.alias("band", "bucket"))
-    of = W.partitionBy("band", "bucket")
-    rows = rows.withColumn("n", F.count("*").over(of)).filter("n > 1").withColumn("tile", ((F.row_number().over(of.orderBy("key")) - 1) / TILE).cast("int"))
-    last = ((F.col("n") - 1) / TILE).cast("int")
-    rows = rows.select("key", "band", "bucket", "tile", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    rows = sketch.filter("signature is not null").select("key", "size", band.alias("band", "bucket"))
+    several = rows.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    # Plain equality joins: adaptive execution splits the partition of a hot bucket.
+    rows = rows.join(several, ["band", "bucket"])
+    slices = F.ceil(F.col("n") / (SLICE * TILE))
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("key"), slices).cast("int"))
+    of, share = W.partitionBy("band", "bucket", "slice"), F.lit(1 / TILE) + F.col("size") / F.lit(float(TILE_SHINGLES))
+    # A tile is full when its classes' shares reach 1.
+    rows = rows.withColumn("share", share).withColumn("nth", F.floor(F.sum("share").over(of.orderBy("key").rowsBetween(W.unboundedPreceding, 0)) - F.col("share")).cast("int"))
+    each = rows.groupBy("band", "bucket", "slice").agg((F.max("nth") + 1).alias("many"))
+    whole_bucket = W.partitionBy("band", "bucket")  # one row a slice
+    each = each.select("band", "bucket", "slice", (F.sum("many").over(whole_bucket.orderBy("slice")) - F.col("many")).alias("before"), (F.sum("many").over(whole_bucket) - 1).alias("last"))
+    rows = rows.join(each, ["band", "bucket", "slice"]).withColumn("tile", (F.col("before") + F.col("nth")).cast("int"))
+    rows = rows.select("key", "band", "bucket", "tile", F.explode(F.sequence(F.lit(0), F.col("last").cast("int"))).alias("other"))
     rows = rows.select("key", "band", "bucket", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), F.col("tile").alias("side"))
     return rows.join(sketch.select("key", "signature"), "key")
 
@@ -166,11 +181,17 @@ SETS = T.StructType([*PARTNERS.fields[:4], PARTNERS["number"], PARTNERS["key"],
 LINKS = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("links", T.LongType()), T.StructField("texts", T.LongType()), T.StructField("root", T.BinaryType())])
 
 
-def verified(different: DataFrame, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verified(docs: DataFrame, text_col: str, candidates: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(key, links, texts, root): for every piece of work and class with links there: linked documents, linked texts, and the smallest key
     that its links lead to there."""
     wanted = candidates.groupBy("key").agg(F.collect_list(F.struct("band", "a", "b", "bucket", "number", "partners")).alias("work"))
-    joined = different.select("key", "text", "first_id", "copies").join(wanted, "key")
+    wanted = cut(wanted)
+    keys, text = wanted.select("key"), whole(text_col)
+    # Only candidates' texts move, once each.
+    texts = docs.select(F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("key"), text.alias("text"))
+    n = keys.count()
+    texts = texts.join(small(keys, n), "key", "left_semi") if n <= BROADCAST_ROWS else texts
+    joined = texts.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies")).join(wanted, "key")
 
     def sets(batches):
         for b in batches:
@@ -256,19 +277,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def near_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """near_dedup() with the key of the text."""
-    rows, different = texts_of(docs, id_col, text_col)
-    sketch = cut(sketches(different))
-    found = cut(verified(different, pruned(tiles(sketch))))
+    sketch = cut(sketches(docs, id_col, text_col))
+    found = cut(verified(docs, text_col, pruned(tiles(sketch))))
     roots = components(found.select(F.col("key").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = sketch.select("key", "first_id", "copies").join(roots.select(F.col("u").alias("key"), "root"), "key", "left").join(links, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = cut(known)
     class_ids = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
     classes = known.join(class_ids, "root").select("key", "class_id", "n_links")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.unhex(F.md5(whole(text_col))), F.lit(b"")).alias("key"))
     return rows.join(classes, "key").select("doc_id", "key", "class_id", "n_links")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the smallest id of their class, with all their columns. Rows that share an id are one document here."""
-    gone = cut(near_classes(docs, id_col, text_col).filter(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) != F.col("class_id")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct())
-    return docs.join(small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("__id")) & (F.unhex(F.md5(whole(text_col))) == F.col("__key")), "left_anti")
+    the_id, the_key = fresh(docs, "id"), fresh(docs, "key")
+    gone = cut(near_classes(docs, id_col, text_col).filter(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) != F.col("class_id")).select(F.col("doc_id").alias(the_id), F.col("key").alias(the_key)).distinct())
+    return docs.join(small(gone, gone.count()), F.col(id_col).eqNullSafe(F.col(the_id)) & (F.unhex(F.md5(whole(text_col))) == F.col(the_key)), "left_anti")
