@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import fixed, scorers, text
+from .functions import fixed, kernels, scorers, text
 from .operators import records, rows
-from .plans import order, profile
-from .plans.pipeline import Step, funnel, lower, native_only, with_args
+from .plans import profile
+from .plans.pipeline import Step, funnel, lower, spread, with_args
 from .plans.recipes import RECIPES, recipe
 from .sources import readers
 
@@ -100,9 +100,88 @@ _SQL: dict[str, Callable[..., str]] = {
     "words_num": lambda t: f"len({_words_sql(t, False)})",
     "flagged_ratio": _listed_sql,
     "stopwords_ratio": _listed_sql,
+    "clean_links": lambda t: _sub(t, fixed.LINK),
+    "fix_unicode": lambda t: _unicode_sql(t),
+    "char_repetition": lambda t, n=10: _grams_sql(f"[substr({t}, i::int, {n}) for i in generate_series(1, length({t}) - {n - 1})]", "list_sum(v[1:least(floor(sqrt(len(v)))::int, len([x for x in v if x > 1]))])"),
+    "word_repetition": lambda t, n=10: "coalesce([" + _grams_sql(f"[array_to_string(w[i:i + {n - 1}], ' ') for i in generate_series(1, len(w) - {n - 1})]", "list_sum([x for x in v if x > 1])") + f" for w in [{_words_sql(t, True)}]][1], 0.0)",
+    "token_count": lambda t: f"len({_words_sql(t, False)})",
+    "alpha_per_token": lambda t: _ratio_sql(f"length({_sub(t, r'[^\p{L}]')})", f"len({_split_sql(t)})"),
 }
 
 
+def _unicode_sql(t: str) -> str:
+    """Without the repair of mangled UTF-8, which tests compare on literals."""
+    t = f"replace(replace({t}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    for a, b in kernels.REPAIRED.items():
+        t = f"replace({t}, {_q(a)}, {_q(b)})"
+    return f"nfc_normalize({_sub(t, r'[\x{1}-\x{8}\x{b}\x{e}-\x{1f}\x{7f}\x{feff}]')})"
+
+
+def _grams_sql(grams: str, part: str) -> str:
+    """The share that a part of the counts of all n-grams, largest first, has of them."""
+    return f"coalesce([{part}::double / list_sum(v) for v in [list_reverse_sort(map_values(list_aggregate({grams}, 'histogram')))]][1], 0.0)"
+
+
+def _split_sql(t: str) -> str:
+    return f"[x for x in string_split_regex({t}, {_q(_TRIM + '+')}) if x <> '']"
+
+
+# The stand-in models, fitted as functions/scorers.py does.
+
+_MODELS = r"""
+ls as materialized (select text as t, lang as l from documents where length(text) between 20 and 5000 and lang is not null order by md5(text), lang limit 2000),
+lg as materialized (select l, substr(p, i::int, 3) as g, count(*) as c from (select l, p, unnest(generate_series(1, length(p) - 2)) as i from (select l, ' ' || replace(lower(t), chr(10), ' ') || ' ' as p from ls)) group by all),
+lt as materialized (select l, sum(c) as n from lg group by 1),
+lk as materialized (select l, g, ln(c::double / n) as log from (select *, row_number() over (partition by l order by c desc, g) as k from lg) join lt using (l) where k <= 3000),
+wc as materialized (select w, count(*) as c from (select unnest(string_split_regex(lower(coalesce(text, '')), '[ \t\n\v\f\r]+')) as w from documents) where w <> '' group by 1),
+wt as materialized (select sum(c) as n from wc),
+wl as materialized (select w, round(log10(c::double / n) * 1000000000)::bigint as log from wc, wt)"""
+
+
+def _language_sql(source: str, k: int, lang: str | None) -> tuple[str, str]:
+    """CTEs that end in x<k> (rid, stat), and the value of documents that aren't in it."""
+    share = "1 / sum(exp(greatest(-700.0, v - top)))"
+    stat = share if lang is None else f"case when any_value(best) = {_q(lang)} then {share} else 0.0 end"
+    ctes = f"""
+g{k} as materialized (select rid, substr(p, i::int, 3) as g, count(*) as c from (select rid, p, unnest(generate_series(1, length(p) - 2)) as i from (select rid, ' ' || replace(lower(text), chr(10), ' ') || ' ' as p from {source})) group by all),
+n{k} as (select rid, greatest(1.0, sum(c) / 50.0) as n from g{k} group by 1),
+v{k} as materialized (select g.rid, lt.l, sum(g.c * coalesce(lk.log, ln(0.5 / lt.n))) / any_value(m.n) as v from g{k} g cross join lt join n{k} m using (rid) left join lk on lk.l = lt.l and lk.g = g.g group by 1, 2),
+x{k} as materialized (select rid, {stat} as stat from (select *, max(v) over (partition by rid) as top, first(l) over (partition by rid order by v desc, l) as best from v{k}) group by rid)"""
+    alone = "(select 1.0 / count(*) from lt)"
+    return ctes, alone if lang is None else f"(select case when min(l) = {_q(lang)} then 1.0 / count(*) else 0.0 end from lt)"
+
+
+def _perplexity_sql(source: str, k: int) -> tuple[str, str]:
+    ctes = f"""
+w{k} as (select rid, len(ws) + lines as n, lines, ws from (select rid, {_split_sql('lower(text)')} as ws, case when text = '' then 0 else len({_lines_sql('text')}) end as lines from {source})),
+u{k} as (select rid, sum(coalesce(log, round(log10(0.1 / (select n from wt)) * 1000000000)::bigint)) as s from (select rid, unnest(ws) as w from w{k}) left join wl using (w) group by 1),
+x{k} as materialized (select rid, case when n > 0 then round(pow(10.0, -(coalesce(s, 0) - 2000000000::bigint * lines) / 1000000000.0 / n), 1) else 0.0 end as stat from w{k} left join u{k} using (rid))"""
+    return ctes, "0.0"
+
+
+def _annotated_sql(steps: list[Step]) -> tuple[str, str]:
+    """WITH of a chain, and the table at its end: doc_id, text and the statistic s_<tag> of each filter."""
+    ctes, at = [], "d0"
+    if any(s.op in ("language_score", "perplexity") for s in steps):
+        ctes.append(_MODELS)
+    ctes.append("\nd0 as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents)")
+    for k, s in enumerate(steps, 1):
+        if s.op in ("language_score", "perplexity"):
+            more, alone = _language_sql(at, k, s.args.get("lang")) if s.op == "language_score" else _perplexity_sql(at, k)
+            ctes += [more, f"\nd{k} as materialized (select d.*, coalesce(x.stat, {alone}) as s_{s.tag} from {at} d left join x{k} x using (rid))"]
+        else:
+            args = {a: v for a, v in s.args.items() if a in ("n", "listed", "max_len", "words")}
+            value = _SQL[s.op]("text", **args)
+            ctes.append(f"\nd{k} as materialized (select * replace ({value} as text) from {at})" if s.operator.kind == "map" else f"\nd{k} as materialized (select *, ({value})::double as s_{s.tag} from {at})")
+        at = f"d{k}"
+    return "with " + ",".join(ctes), at
+
+
+def _within_sql(s: Step) -> str:
+    tests = [f"s_{s.tag} >= {s.low}"] * (s.low is not None) + [f"s_{s.tag} <= {s.high}"] * (s.high is not None)
+    return " and ".join(tests) or "true"
+
+
 def _doc_sql(expressions: str) -> str:
     return f"with d as (select doc_id, coalesce(text, '') as t from documents) select doc_id, {expressions} from d"
 
@@ -160,64 +239,57 @@ select d.doc_id as doc_id, round(coalesce(s.stat, 0.0), 9) as stat from document
 # Recipes
 
 
-def _recipe_sql(steps: list[Step]) -> str:
-    value = "coalesce(text, '')"
-    ctes, k = [], 0
-    source = "documents"
-    for s in steps:
-        if s.operator.kind == "map":
-            ctes.append(f"m{k} as (select doc_id, {_SQL[s.op](value, **s.args)} as text from {source})")
-            source, value, k = f"m{k}", "text", k + 1
-    tests = []
-    for s in steps:
-        if s.operator.kind == "filter":
-            stat = _SQL[s.op]("text", **s.args)
-            tests += [f"({stat}) >= {s.low}"] * (s.low is not None) + [f"({stat}) <= {s.high}"] * (s.high is not None)
-    ctes = ctes or ["m0 as (select doc_id, coalesce(text, '') as text from documents)"]
-    return f"with {', '.join(ctes)} select doc_id, text from m{max(0, k - 1)} where {' and '.join(tests) or 'true'}"
-
-
-def _native_steps(name: str) -> list[Step]:
+def _steps(name: str, docs: DataFrame | None = None) -> list[Step]:
+    """A recipe with word lists, and with the stand-in models fitted on docs."""
     steps = with_args(recipe(name), flagged_ratio={"listed": FLAGGED}, stopwords_ratio={"listed": STOPWORDS})
-    return native_only(steps)
+    if docs is None:
+        return steps
+    ops = {s.op for s in steps}
+    models = {"language_score": scorers.fit_language, "perplexity": scorers.fit_words}
+    return with_args(steps, **{op: {"model": fit(docs)} for op, fit in models.items() if op in ops})
 
 
 def _recipe(name: str) -> tuple[Query, str]:
-    steps = _native_steps(name)
+    """What is left of the documents, in the order that a profile of a sample makes cheapest."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-        return lower(docs, [steps[i] for i in order.fastest_filters_first(steps)])
+        docs = table(spark, sf_dir, "documents")
+        steps, rows = _steps(name, docs), docs.select("doc_id", "text")
+        return lower(spread(rows), profile.planned(rows, steps))
 
-    return run, _recipe_sql(steps)
+    steps = _steps(name)
+    ctes, at = _annotated_sql(steps)
+    return run, f"{ctes}\nselect doc_id, text from {at} where {' and '.join(_within_sql(s) for s in steps if s.operator.kind == 'filter')}"
 
 
-def _whole_recipe(name: str) -> Query:
-    """With links, text repair, repetition, and the stand-in models fitted on the documents."""
+def _funnel(name: str) -> tuple[Query, str]:
+    """How many documents each filter of a recipe sees and keeps, in the declared order."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents")
-        steps = with_args(recipe(name), flagged_ratio={"listed": FLAGGED}, stopwords_ratio={"listed": STOPWORDS}, language_score={"model": scorers.fit_language(docs)}, perplexity={"model": scorers.fit_words(docs)}, alpha_per_token={"tokenize": str.split})
-        return lower(docs.select("doc_id", "text"), [steps[i] for i in order.fastest_filters_first(steps)])
+        return funnel(spread(docs.select("doc_id", "text")), _steps(name, docs))
 
-    return run
+    steps = _steps(name)
+    ctes, at = _annotated_sql(steps)
+    filters = [s for s in steps if s.operator.kind == "filter"]
+    parts = []
+    for i, s in enumerate(filters):
+        seen = " and ".join(_within_sql(o) for o in filters[:i]) or "true"
+        parts.append(f"select {i} as step, {_q(s.tag)} as tag, count(*) filter (where {seen}) as rows_in, count(*) filter (where {seen} and {_within_sql(s)}) as rows_out from {at}")
+    return run, f"{ctes}\n" + " union all ".join(parts)
 
 
-def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return funnel(table(spark, sf_dir, "documents").select("doc_id", "text"), _native_steps("pile_hackernews"))
+def _model_stat(op: str, **args) -> tuple[Query, str]:
+    """The statistic of a stand-in model that is fitted on the documents."""
+    fit = {"language_score": scorers.fit_language, "perplexity": scorers.fit_words}[op]
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        rows = lower(docs.select("doc_id", "text"), [Step("x", op, {"model": fit(docs), **args})], annotate=True)
+        return rows.select("doc_id", F.round("stat_x", 6).alias("stat"))
 
-def _funnel_sql() -> str:
-    steps = _native_steps("pile_hackernews")
-    maps = [s for s in steps if s.operator.kind == "map"]
-    filters = [s for s in steps if s.operator.kind == "filter"]
-    inner = _recipe_sql(maps)
-    stats = ", ".join(f"(({_SQL[s.op]('text', **s.args)})::double {'>= ' + str(s.low) if s.low is not None else 'is not null'} and ({_SQL[s.op]('text', **s.args)})::double {'<= ' + str(s.high) if s.high is not None else 'is not null'}) as k{i}" for i, s in enumerate(filters))
-    parts = []
-    for i, s in enumerate(filters):
-        seen = " and ".join(f"k{j}" for j in range(i)) or "true"
-        parts.append(f"select {i} as step, {_q(s.tag)} as tag, count(*) filter (where {seen}) as rows_in, count(*) filter (where {seen} and k{i}) as rows_out from s")
-    return f"with b as ({inner}), s as (select doc_id, {stats} from b) " + " union all ".join(parts)
+    ctes, at = _annotated_sql([Step("x", op, args)])
+    return run, f"{ctes}\nselect doc_id, round(s_x, 6) as stat from {at}"
 
 
 def threshold_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +396,7 @@ def _vector(value: Callable[[Column], Column]) -> Query:
 
 def token_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.transform(F.col("embedding"), lambda v: F.floor(F.abs(v) * 1000).cast("int"))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", records.padded(records.token_ids(ids, most=20), 32).alias("x"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", records.padded(records.token_ids(ids, most=254), 256).alias("x"))
     return rows.select("vec_id", F.size("x").cast("long").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.get("x", F.lit(0)).cast("long").alias("bos"))
 
 
@@ -348,8 +420,15 @@ _SINGLE: dict[str, tuple[Query, str]] = {
     "stat_stopwords_ratio": _stat("stopwords_ratio", listed=STOPWORDS),
     "stat_char_repetition": (char_repetition, _CHAR_REPETITION),
     "stat_word_repetition": (word_repetition, _WORD_REPETITION),
-    **{f"recipe_{name}_native": _recipe(name) for name in RECIPES},
-    "filter_funnel": (filter_funnel, _funnel_sql()),
+    "map_clean_links": _mapped("clean_links"),
+    "map_fix_unicode": _mapped("fix_unicode"),
+    "stat_token_count": _stat("token_count"),
+    "stat_alpha_per_token": _stat("alpha_per_token"),
+    "stat_language_score": _model_stat("language_score"),
+    "stat_language_score_en": _model_stat("language_score", lang="en"),
+    "stat_perplexity": _model_stat("perplexity"),
+    **{f"recipe_{name}": _recipe(name) for name in RECIPES},
+    **{f"funnel_{name}": _funnel(name) for name in RECIPES},
     "threshold_calibration": (threshold_calibration, _THRESHOLDS),
     "source_prefix": (prefix, "select doc_id, source from documents order by doc_id limit 100"),
     "source_shard": (sharding, "select doc_id, source from (select doc_id, source, row_number() over (order by doc_id) - 1 as n from documents) where (n - 1) % 3 = 0 and n >= 1"),
@@ -374,9 +453,7 @@ _SINGLE: dict[str, tuple[Query, str]] = {
 
 
 def queries() -> dict[str, Query]:
-    out = {name: q for name, (q, _) in _SINGLE.items()}
-    # Links, text repair and model scores can't be said in SQL; tests compare them with Python on literals.
-    return out | {f"recipe_{name}": _whole_recipe(name) for name in RECIPES}
+    return {name: q for name, (q, _) in _SINGLE.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,16 +1,10 @@
-"""Text operations that Spark's functions can't express well, as functions from a list of texts to a list or array.
-
-They run on Arrow batches (see operators.cascade): links, because the pattern backtracks without end in Java's engine; n-gram repetition,
-because exploding n-grams is a row per character; tokenizers and scorers, because they are Python libraries.
-"""
+"""Text operations that Spark's functions can't express well, as functions of a text: links, because the pattern backtracks without end in Java's
+engine; text repair; tokenizers, because they are Python libraries."""
 
 from __future__ import annotations
 
-import math
 import unicodedata
-from collections import Counter
 
-import numpy as np
 import regex
 
 from . import fixed
@@ -18,11 +12,13 @@ from . import fixed
 _LINK = regex.compile(fixed.LINK, regex.DOTALL)
 _SPECIAL = "".join(fixed.special_characters())
 #: Quotes and ligatures that text repair straightens.
-_QUOTES = str.maketrans({"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "\ufeff": None, "\x7f": None} | {chr(c): None for c in [*range(0, 9), 11, *range(14, 32)]})
+REPAIRED = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+_REPAIR = str.maketrans(REPAIRED | {chr(c): None for c in (*range(0, 9), 11, *range(14, 32), 0x7F, 0xFEFF)})
 
 
-def clean_links(texts: list[str]) -> list[str]:
-    return [_LINK.sub("", t) for t in texts]
+def clean_links(text: str) -> str:
+    """Links hold a colon, a slash or www."""
+    return _LINK.sub("", text) if ":" in text or "/" in text or "www" in text.lower() else text
 
 
 def _unmangled(text: str) -> str:
@@ -37,32 +33,11 @@ def _unmangled(text: str) -> str:
     return text
 
 
-def fix_unicode(texts: list[str], form: str = "NFC") -> list[str]:
+def fix_unicode(text: str, form: str = "NFC") -> str:
     """A subset of the usual text repair: mangled UTF-8, line ends, quotes, ligatures and control characters, then normalisation."""
-    out = []
-    for t in texts:
-        if not t.isascii():
-            t = _unmangled(t)
-        t = t.replace("\r\n", "\n").replace("\r", "\n").translate(_QUOTES)
-        out.append(unicodedata.normalize(form, t))
-    return out
-
-
-def char_repetition(texts: list[str], n: int = 10) -> np.ndarray:
-    """The share of the most frequent character n-grams: as many kinds as the root of their number, but none that occurs once."""
-    out = np.zeros(len(texts))
-    weights = np.uint64(0x9E3779B97F4A7C15) ** np.arange(n, dtype=np.uint64)
-    for i, t in enumerate(texts):
-        if len(t) < n:
-            continue
-        points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        grams = np.zeros(len(t) - n + 1, np.uint64)
-        for k in range(n):
-            grams += (points[k : k + len(grams)] ^ (points[k : k + len(grams)] >> np.uint64(29))) * weights[k]
-        counts = np.sort(np.unique(grams, return_counts=True)[1])[::-1]
-        top = min(math.isqrt(len(counts)), int((counts > 1).sum()))
-        out[i] = counts[:top].sum() / counts.sum()
-    return out
+    if not text.isascii():
+        text = _unmangled(text)
+    return unicodedata.normalize(form, text.replace("\r\n", "\n").replace("\r", "\n").translate(_REPAIR))
 
 
 def refined_words(text: str, lower: bool = True) -> list[str]:
@@ -87,27 +62,3 @@ def tokens(text: str, model: str | None, lower: bool) -> list[str]:
         return refined_words(text, lower)
     found = pieces_of(model).encode(text, out_type=str)
     return [w for w in ((w.lower() if lower else w).strip(_SPECIAL) for w in found) if w]
-
-
-def word_repetition(texts: list[str], n: int = 10, model: str | None = None) -> np.ndarray:
-    """The share of word n-grams that occur more than once."""
-    out = np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        words = tokens(t, model, True)
-        counts = Counter(zip(*(words[k:] for k in range(n))))
-        if counts:
-            out[i] = sum(c for c in counts.values() if c > 1) / sum(counts.values())
-    return out
-
-
-def token_count(texts: list[str], model: str | None = None) -> np.ndarray:
-    return np.array([len(tokens(t, model, False)) for t in texts], dtype=float)
-
-
-def alpha_per_token(texts: list[str], tokenize) -> np.ndarray:
-    """Letters per token; above 1 for most texts."""
-    out = np.zeros(len(texts))
-    for i, t in enumerate(texts):
-        n = len(tokenize(t))
-        out[i] = sum(c.isalpha() for c in t) / n if n else 0.0
-    return out

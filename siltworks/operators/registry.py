@@ -6,52 +6,58 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from ..functions import kernels, scorers, text
+from ..functions import kernels, measures, scorers, text
 
 
 @dataclass(frozen=True)
 class Operator:
-    """kind: map or filter. engine: native (a Column of the text) or kernel (a function from a list of texts). A filter's value is a
-    statistic, which is kept within bounds; speed is a rough prior in microseconds for a thousand characters, until a profile says more."""
+    """kind: map or filter. A filter's value is a statistic, which is kept within bounds.
+
+    column: a function of a Column, None if Spark's functions can't express it. one: a function of one text (map) or one Doc (filter), for
+    passes over Arrow batches. many: a function of a list of texts, for scorers that want them together. speed is a rough prior in
+    microseconds for a thousand characters in such a pass, until a profile says more.
+    """
 
     kind: str
-    engine: str
-    build: Callable[..., Any]
+    column: Callable[..., Any] | None
+    one: Callable[..., Any] | None
     speed: float
+    many: Callable[..., Any] | None = None
 
+    @property
+    def engine(self) -> str:
+        return "native" if self.column else "kernel"
 
-def _native(kind: str, f: Callable, speed: float) -> Operator:
-    return Operator(kind, "native", lambda **args: lambda col: f(col, **args), speed)
-
-
-def _kernel(kind: str, f: Callable, speed: float) -> Operator:
-    return Operator(kind, "kernel", lambda **args: lambda texts: f(texts, **args), speed)
+    def build(self, **args) -> Callable:
+        """The function with its arguments: of a Column if there is one, else of one text or Doc, or of a list."""
+        f = self.column or self.one or self.many
+        return lambda x: f(x, **args)
 
 
 OPERATORS: dict[str, Operator] = {
-    "clean_email": _native("map", text.clean_email, 20),
-    "clean_links": _kernel("map", kernels.clean_links, 60),
-    "clean_copyright": _native("map", text.clean_copyright, 10),
-    "fix_unicode": _kernel("map", kernels.fix_unicode, 10),
-    "normalize_punctuation": _native("map", text.normalize_punctuation, 15),
-    "normalize_whitespace": _native("map", text.normalize_whitespace, 15),
-    "remove_words_with": _native("map", text.remove_words_with, 120),
-    "remove_long_words": _native("map", text.remove_long_words, 80),
-    "clean_caption": _native("map", text.clean_caption, 20),
-    "truncate_caption": _native("map", text.truncate_caption, 10),
-    "text_length": _native("filter", text.text_length, 1),
-    "average_line_length": _native("filter", text.average_line_length, 10),
-    "maximum_line_length": _native("filter", text.maximum_line_length, 12),
-    "alnum_ratio": _native("filter", text.alnum_ratio, 20),
-    "special_ratio": _native("filter", text.special_ratio, 25),
-    "words_num": _native("filter", text.words_num, 90),
-    "flagged_ratio": _native("filter", text.listed_ratio, 110),
-    "stopwords_ratio": _native("filter", text.listed_ratio, 110),
-    "char_repetition": _kernel("filter", kernels.char_repetition, 100),
-    "word_repetition": _kernel("filter", kernels.word_repetition, 120),
-    "token_count": _kernel("filter", kernels.token_count, 300),
-    "alpha_per_token": _kernel("filter", kernels.alpha_per_token, 200),
-    "language_score": _kernel("filter", scorers.language_score, 150),
-    "perplexity": _kernel("filter", scorers.perplexity, 400),
-    "score": _kernel("filter", scorers.score, 5000),
+    "clean_email": Operator("map", text.clean_email, measures.clean_email, 2),
+    "clean_links": Operator("map", None, kernels.clean_links, 20),
+    "clean_copyright": Operator("map", text.clean_copyright, measures.clean_copyright, 1),
+    "fix_unicode": Operator("map", None, kernels.fix_unicode, 8),
+    "normalize_punctuation": Operator("map", text.normalize_punctuation, measures.normalize_punctuation, 4),
+    "normalize_whitespace": Operator("map", text.normalize_whitespace, measures.normalize_whitespace, 5),
+    "remove_words_with": Operator("map", text.remove_words_with, measures.remove_words_with, 80),
+    "remove_long_words": Operator("map", text.remove_long_words, measures.remove_long_words, 25),
+    "clean_caption": Operator("map", text.clean_caption, None, 20),
+    "truncate_caption": Operator("map", text.truncate_caption, None, 10),
+    "text_length": Operator("filter", text.text_length, measures.text_length, 0.1),
+    "average_line_length": Operator("filter", text.average_line_length, measures.average_line_length, 0.5),
+    "maximum_line_length": Operator("filter", text.maximum_line_length, measures.maximum_line_length, 0.5),
+    "alnum_ratio": Operator("filter", text.alnum_ratio, measures.alnum_ratio, 3),
+    "special_ratio": Operator("filter", text.special_ratio, measures.special_ratio, 3),
+    "words_num": Operator("filter", text.words_num, measures.words_num, 15),
+    "flagged_ratio": Operator("filter", text.listed_ratio, measures.listed_ratio, 18),
+    "stopwords_ratio": Operator("filter", text.listed_ratio, measures.listed_ratio, 18),
+    "char_repetition": Operator("filter", None, measures.char_repetition, 60),
+    "word_repetition": Operator("filter", None, measures.word_repetition, 40),
+    "token_count": Operator("filter", None, measures.token_count, 15),
+    "alpha_per_token": Operator("filter", None, measures.alpha_per_token, 8),
+    "language_score": Operator("filter", None, measures.language_score, 80),
+    "perplexity": Operator("filter", None, measures.perplexity, 70),
+    "score": Operator("filter", None, None, 5000, scorers.score),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import groupby
 from typing import Any
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.measures import Doc
 from ..functions.scorers import LOG_UNITS, WordModel
 from ..functions.scratch import cut
 from ..functions.text import text_of
@@ -61,25 +63,26 @@ class Step:
 def lower(df: DataFrame, steps: Sequence[Step], text: str = "text", annotate: bool = False) -> DataFrame:
     """df through the steps, in their order.
 
-    Native mappers in a row make one expression, which is computed once behind a boundary; native filters stay Columns, so they are
-    evaluated left to right in generated code. Kernel steps in a row are one pass over Arrow batches, each on the rows that are left. A
-    perplexity whose model has more words than memory should hold is a join by word.
+    If Spark's functions express every step, mappers in a row make one expression, which is computed once behind a boundary, and filters stay
+    Columns; a statistic with two bounds is computed once too. If not, all steps run in one pass over Arrow batches, each on the rows that are
+    left, so that texts go to Python and back once and what a text's statistics share is computed once. A perplexity whose model has more
+    words than memory should hold is a join by word.
     annotate: keeps all rows and adds each filter's statistic as stat_<tag>.
     """
     df = df.withColumn(text, text_of(text))
-    steps = list(steps)
-    at = 0
-    while at < len(steps):
-        if joined(steps[at]):
-            df = joined_perplexity(df, steps[at], text, annotate)
-            at += 1
-            continue
-        engine, kind = steps[at].operator.engine, steps[at].operator.kind
-        end = at
-        while end < len(steps) and not joined(steps[end]) and steps[end].operator.engine == engine and (engine == "kernel" or steps[end].operator.kind == kind):
-            end += 1
-        group = steps[at:end]
-        if engine == "kernel":
+    native = all(s.operator.engine == "native" for s in steps)
+
+    def group_of(s: Step) -> str:
+        if joined(s):
+            return "join"
+        return s.operator.kind if native or not (s.operator.one or s.operator.many) else "pass"
+
+    for kind, group in groupby(steps, group_of):
+        group = list(group)
+        if kind == "join":
+            for s in group:
+                df = joined_perplexity(df, s, text, annotate)
+        elif kind == "pass":
             df = cascade(df, group, text, annotate)
         elif kind == "map":
             value = F.col(text)
@@ -90,12 +93,18 @@ def lower(df: DataFrame, steps: Sequence[Step], text: str = "text", annotate: bo
             df = df.withColumns({f"stat_{s.tag}": s.operator.build(**s.args)(F.col(text)).cast("double") for s in group})
         else:
             for s in group:
-                keep = s.within(s.operator.build(**s.args)(F.col(text)))
-                df = df if keep is None else df.filter(keep)
-        at = end
+                df = filtered(df, s, s.operator.build(**s.args)(F.col(text)))
     return df
 
 
+def filtered(df: DataFrame, step: Step, stat) -> DataFrame:
+    """The rows whose statistic is within the bounds. BETWEEN computes it once for both; two comparisons would do so twice."""
+    if step.low is not None and step.high is not None:
+        return df.filter(F.call_function("between", stat, F.lit(step.low), F.lit(step.high)))
+    keep = step.within(stat)
+    return df if keep is None else df.filter(keep)
+
+
 def joined(step: Step) -> bool:
     return step.op == "perplexity" and getattr(step.args.get("model"), "tail", None) is not None
 
@@ -106,7 +115,7 @@ def joined_perplexity(df: DataFrame, step: Step, text: str, annotate: bool) -> D
     Frequent words are summed in the pass that splits the texts, so no word that moves is hot. The rows are kept, as they are used twice.
     """
     where, model = df.columns.index(text), step.args["model"]
-    known, tail, unknown = WordModel(model.logs, model.unknown), model.tail, round(model.unknown * LOG_UNITS)
+    known, tail, unknown = WordModel(model.hashes, model.logs, model.unknown), model.tail, model.unknown
     added = T._parse_datatype_string("__n long, __sum long, __others array<struct<w: string, c: long>>")
 
     def run(batches):
@@ -131,36 +140,44 @@ def joined_perplexity(df: DataFrame, step: Step, text: str, annotate: bool) -> D
 
 
 def cascade(df: DataFrame, steps: Sequence[Step], text: str, annotate: bool) -> DataFrame:
-    """Kernel steps as one pass over batches. A filter drops rows before the next step sees them."""
+    """The steps as one pass over batches, some texts at a time. A filter drops rows before the next step sees them."""
     where = df.columns.index(text)
     added = [f"stat_{s.tag}" for s in steps if s.operator.kind == "filter"] if annotate else []
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in added]])
     schema[text].nullable = True
-    work = [(s, s.operator.build(**s.args), s.operator.kind) for s in steps]
+    work = [(s, s.operator.one, s.operator.many, dict(s.args), s.operator.kind) for s in steps]
 
     def run(batches):
-        for b in batches:
-            table, stats = pa.Table.from_batches([b]), []
-            texts = table.column(where).to_pylist()
-            for s, f, kind in work:
-                if kind == "map":
-                    texts = f(texts)
-                    continue
-                stat = np.asarray(f(texts), float) if texts else np.zeros(0)
-                if annotate:
-                    stats.append(stat)
-                    continue
-                keep = s.within(stat)
-                if keep is not None and not keep.all():
-                    table = table.filter(pa.array(keep))
-                    texts = [t for t, k in zip(texts, keep.tolist()) if k]
-            arrays = [pa.array(texts, pa.string()) if i == where else c.combine_chunks() for i, c in enumerate(table.columns)]
-            arrays = [a.chunk(0) if isinstance(a, pa.ChunkedArray) and a.num_chunks == 1 else a for a in arrays]
-            yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(x) for x in stats]], names=[*table.column_names, *added])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b, stats = whole.slice(at, SLICE), []
+                left, docs = np.arange(b.num_rows), [Doc(t) for t in b.column(where).to_pylist()]
+                for s, one, many, args, kind in work:
+                    if kind == "map":
+                        new = [one(d.text, **args) for d in docs]
+                        docs = [d if t == d.text else Doc(t) for d, t in zip(docs, new)]
+                        continue
+                    stat = np.array([one(d, **args) for d in docs], float) if one else np.asarray(many([d.text for d in docs], **args), float) if docs else np.zeros(0)
+                    if annotate:
+                        stats.append(stat)
+                        continue
+                    keep = s.within(stat)
+                    if keep is not None and not keep.all():
+                        left, docs = left[keep], [d for d, k in zip(docs, keep.tolist()) if k]
+                if len(left) < b.num_rows:
+                    b = b.take(pa.array(left))
+                arrays = [pa.array([d.text for d in docs], pa.string()) if i == where else c for i, c in enumerate(b.columns)]
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(x) for x in stats]], names=[*b.schema.names, *added])
 
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt anew where its files give fewer tasks than the cluster has places, as one small file does; larger tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def funnel(df: DataFrame, steps: Sequence[Step], text: str = "text") -> DataFrame:
     """(step, tag, rows_in, rows_out): how many rows each filter sees and keeps in the given order, from one pass over the data."""
     filters = [s for s in steps if s.operator.kind == "filter"]
@@ -178,7 +195,3 @@ def funnel(df: DataFrame, steps: Sequence[Step], text: str = "text") -> DataFram
 def with_args(steps: Sequence[Step], **by_op: Mapping[str, Any]) -> list[Step]:
     """Steps with more arguments for operators that need them: models, word lists, tokenizer files."""
     return [replace(s, args={**s.args, **by_op[s.op]}) if s.op in by_op else s for s in steps]
-
-
-def native_only(steps: Sequence[Step]) -> list[Step]:
-    return [s for s in steps if s.operator.engine == "native" and not ({"listed"} & set(s.args) and not s.args["listed"])]

@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.measures import Doc
 from ..operators.rows import boundary
-from .order import Cost
+from .order import Cost, cheapest
 from .pipeline import Step, lower
 
 
@@ -27,6 +28,41 @@ def affine(sizes: Sequence[float], seconds: Sequence[float]) -> tuple[float, flo
     return float(slope), float(base)
 
 
+def sampled(df: DataFrame, steps: Sequence[Step], text: str = "text", rows: int = 200, longest: int = 20_000) -> list[Cost]:
+    """Costs of steps that run on one text at a time: timed here, on the first `rows` texts that Spark finds of at most `longest` characters.
+
+    Mappers see what the mappers before them made. Only the order of the steps depends on this, and no result. Native steps without such a
+    form have the cost of their prior.
+    """
+    texts = [r[0] for r in df.select(text).filter(F.length(text).between(1, longest)).limit(rows).collect()]
+    docs, out = [Doc(t) for t in texts], []
+    size = sum(len(t) for t in texts) / max(1, len(texts))
+    for s in steps:
+        one, args = s.operator.one, dict(s.args)
+        if one is None or not docs or getattr(args.get("model"), "tail", None) is not None:
+            out.append(Cost(s.operator.speed * 1e-9))
+            continue
+        best, values = float("inf"), []
+        for _ in range(2):
+            for d in docs:  # what statistics share is paid by each of them here
+                d.__init__(d.text)
+            began = time.perf_counter()
+            values = [one(d.text if s.operator.kind == "map" else d, **args) for d in docs]
+            best = min(best, time.perf_counter() - began)
+        if s.operator.kind == "map":
+            docs = [Doc(t) for t in values]
+            out.append(Cost(best / len(docs) / max(1.0, size)))
+        else:
+            keep = s.within(np.array(values, float))
+            out.append(Cost(best / len(docs) / max(1.0, size), 0.0, 1.0 if keep is None else float((keep.sum() + 0.5) / (len(docs) + 1))))
+    return out
+
+
+def planned(df: DataFrame, steps: Sequence[Step], text: str = "text") -> list[Step]:
+    """The steps in the legal order that costs least by a sample."""
+    return [steps[i] for i in cheapest(steps, sampled(df, steps, text))]
+
+
 def measured(df: DataFrame, steps: Sequence[Step], text: str = "text", rows: int = 2000, parts: int = 3) -> list[Cost]:
     """Costs of the steps on a sample of `rows` rows, chosen by a hash of the text and sorted into `parts` sets by length.
 

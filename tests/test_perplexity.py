@@ -12,7 +12,7 @@ def test_words_beyond_memory_count(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(3)
     seen = docs.filter("text <> 'unseen'")
     whole, few = scorers.fit_words(seen), scorers.fit_words(seen, most=2)
-    assert whole.tail is None and few.tail.count() == len(whole.logs) - 2 and len(few.logs) == 2
+    assert whole.tail is None and few.tail.count() == len(whole.logs) - 2 and len(few.logs) == len(few.hashes) == 2
 
     def scores(model):
         step = Step("ppl", "perplexity", {"model": model})
@@ -24,4 +24,4 @@ def test_words_beyond_memory_count(spark):
     kept = lower(docs, [Step("ppl", "perplexity", {"model": few}, high=bound), Step("rep", "char_repetition", {"n": 3})])
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, v in want.items() if v <= bound}
     with pytest.raises(ValueError):
-        scorers.perplexity(["a"], few)
+        few.perplexity("a")

@@ -4,7 +4,9 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from siltworks.functions import scorers
 from siltworks.plans import order, profile
 from siltworks.plans.order import Cost
 from siltworks.plans.pipeline import Step, funnel, lower, with_args
@@ -85,17 +87,28 @@ def test_funnel_and_filters_agree(spark):
     assert rows[0].rows_in == 12 and rows[-1].rows_out == lower(df, some).count()
 
 
-def test_recipes(spark):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    for name in RECIPES:
-        some = recipe(name)
-        assert len({s.tag for s in some}) == len(some)
-        kernels_only = [s for s in some if s.op not in ("language_score", "perplexity", "alpha_per_token")]
-        kernels_only = with_args(kernels_only, flagged_ratio={"listed": ("idiot",)}, stopwords_ratio={"listed": ("the", "of")})
-        if name in ("stackexchange", "bloom_oscar", "redpajama_code"):
-            a = {r.doc_id for r in lower(df, kernels_only).collect()}
-            b = {r.doc_id for r in lower(df, [kernels_only[i] for i in order.fastest_filters_first(kernels_only)]).collect()}
-            assert a == b
+@pytest.mark.parametrize("name", RECIPES)
+def test_recipes(spark, name):
+    """Declared and planned order keep the same rows, and the words of a model may be in a table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = with_args(recipe(name), flagged_ratio={"listed": ("idiot",)}, stopwords_ratio={"listed": ("the", "of")}, language_score={"model": scorers.fit_language(docs)}, perplexity={"model": scorers.fit_words(docs, most=50)})
+    assert len({s.tag for s in some}) == len(some)
+    rows = docs.select("doc_id", "text")
+    best = profile.planned(rows, some)
+    assert sorted(s.tag for s in best) == sorted(s.tag for s in some) and order.legal(some, [some.index(s) for s in best])
+    whole = with_args(some, perplexity={"model": scorers.fit_words(docs)})
+    assert {tuple(r) for r in lower(rows, some).collect()} == {tuple(r) for r in lower(rows, with_args(best, perplexity={"model": scorers.fit_words(docs)})).collect()}
+    assert funnel(rows, whole).orderBy(F.desc("step")).first().rows_out == lower(rows, whole).count()
+
+
+def test_code_recipe_keeps_code(spark):
+    """No document of the tables is code, so here is some."""
+    rng = random.Random(3)
+    names, marks = ["x", "yy", "abc", "idx", "total", "i", "j", "n"], ["", " +", " =", "[0]", "(1)"]
+    code = "".join("    " * (k % 3) + " ".join(rng.choice(names) + rng.choice(marks) for _ in range(4 + k % 9)) + "\n" for k in range(40))
+    docs = spark.createDataFrame([(1, "# copyright\n# me\n" + code), (2, code[:100]), (3, "/* Copyright me */\n" + code), (4, None), (5, "x " * 600)], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in lower(docs, recipe("redpajama_code")).collect()}
+    assert set(got) == {1, 3} and got[1] == code.strip() and got[3].strip() == code.strip()
 
 
 def test_profile_and_thresholds(spark):

@@ -9,7 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltworks.functions import fixed, kernels, text
+from siltworks.functions import fixed, kernels, measures, text
+from siltworks.functions.measures import Doc
+from siltworks.operators.registry import OPERATORS
 
 SPECIALS = fixed.special_characters()
 
@@ -32,9 +34,10 @@ def test_email(spark):
 
 
 def test_links():
-    assert kernels.clean_links(["see http://a.example/x(y) and www.b.example/z end"]) == ["see  and  end"]
+    assert kernels.clean_links("see http://a.example/x(y) and www.b.example/z end") == "see  and  end"
+    assert kernels.clean_links("WWW2.x.example stays gone, mail:mel too, a.b c") == " stays gone,  too, a.b c"
     slow = "a." * 3000 + "(" * 50
-    assert kernels.clean_links([slow])[0].endswith("(" * 50)
+    assert kernels.clean_links(slow).endswith("(" * 50)
 
 
 @pytest.mark.parametrize("value,expected", [("/* Copyright 2024 Example */\nprint('kept')", "\nprint('kept')"), ("# license\n// generated\n\nprint('kept')", "print('kept')"), ("/* other */\n# x\ny", "/* other */\n# x\ny"), ("x\n# y", "x\n# y"), ("# only", "")])
@@ -98,20 +101,38 @@ def _char_repetition(t, n):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("abé\n 漢😀.", max_size=60), max_size=4), st.integers(1, 6))
 def test_repetition(texts, n):
-    assert kernels.char_repetition(texts, n) == pytest.approx([_char_repetition(t, n) for t in texts])
-    for t, got in zip(texts, kernels.word_repetition(texts, n)):
+    for t in texts:
+        assert measures.char_repetition(Doc(t), n) == pytest.approx(_char_repetition(t, n))
         w = _words(t, True)
         c = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-        assert got == pytest.approx(sum(v for v in c.values() if v > 1) / sum(c.values()) if c else 0)
+        assert measures.word_repetition(Doc(t), n) == pytest.approx(sum(v for v in c.values() if v > 1) / sum(c.values()) if c else 0)
 
 
 def test_unicode():
-    assert kernels.fix_unicode(["CafÃ© â€œx”", "é", "ok\r\n"]) [1:] == ["é", "ok\n"]
-    assert kernels.fix_unicode(["CafÃ©"]) == ["Café"]
+    assert [kernels.fix_unicode(t) for t in ("é", "ok\r\n", "CafÃ©", "‘ﬁne’\x07", "é")] == ["é", "ok\n", "Café", "'fine'", "é"]
 
 
 def test_alpha_per_token():
-    assert list(kernels.alpha_per_token(["ab12", ""], lambda t: ["ab", "12"] if t else [])) == [1.0, 0.0]
+    assert [measures.alpha_per_token(Doc(t), lambda t: ["ab", "12"] if t else []) for t in ("ab12", "")] == [1.0, 0.0]
+
+
+ARGS = {"flagged_ratio": {"listed": ("ab", "don't")}, "stopwords_ratio": {"listed": ("spaces", "漢")}, "remove_long_words": {"max_len": 3}}
+
+
+def test_both_forms_of_every_operator_agree(spark):
+    """The Column expression and the function of one document."""
+    rng = np.random.default_rng(0)
+    alphabet = list("ab1 \n\t.,-—“é漢😀@/\u2003\x85\r—") + ["http", "a@b.cd", "//x", "/* copyright */", "# c\n", "ABCDEFGHIJ"]
+    texts = SAMPLES + ["".join(rng.choice(alphabet, int(rng.integers(0, 40)))) for _ in range(300)]
+    for name, op in OPERATORS.items():
+        if not (op.column and op.one):
+            continue
+        args = ARGS.get(name, {})
+        native = many(spark, texts, op.build(**args))
+        if op.kind == "map":
+            assert native == [op.one(t, **args) for t in texts], name
+        else:
+            assert [float(v) for v in native] == pytest.approx([float(op.one(Doc(t), **args)) for t in texts]), name
 
 
 def test_null_text(spark):
