@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .anchors import Rolling, _arrow, word_units
-from .common import BROADCAST_ROWS, cut, fresh, small, whole
+from .common import BROADCAST_ROWS, cut, fresh, slices, small, whole
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, IN_BAND = 24, 3  # a linked pair shares no band with probability 3e-8 at the threshold, and less above
@@ -73,7 +73,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), text.alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out: list[bytes | None] = []
             sizes: list[int] = []
             held: list[np.ndarray] = []

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole
+from .common import slices, whole
 
 #: Codes: 0 pads, 1 marks the end of a word, then digits and a to z, then the letters from U+00DF to U+00FF, then shared ones.
 SIZE = 128
@@ -184,16 +184,20 @@ class Toxicity:
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """The linear support vector machine with squared hinge loss, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """The linear support vector machine with squared hinge loss, by Newton's method. The last column of x is 1, for the bias."""
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        a = x[inside] * weight[inside, None]
-        new = np.linalg.solve(ridge + 2 * c * a.T @ x[inside], 2 * c * a.T @ y[inside])
-        if np.allclose(new, w, atol=1e-9):
+        inside = np.flatnonzero(y * (x @ w.astype(np.float32)) < 1)
+        square, right = ridge.copy(), np.zeros(x.shape[1])
+        for part in np.array_split(inside, max(1, len(inside) // 4000)):  # a few rows at a time, so that x isn't copied whole
+            some = x[part]
+            heavy = some * (2 * c * weight[part, None]).astype(np.float32)
+            square += heavy.T @ some
+            right += y[part] @ heavy
+        new = np.linalg.solve(square, right)
+        if np.allclose(new, w, atol=1e-6):
             break
         w = new
     return w[:-1], float(w[-1])
@@ -305,7 +309,8 @@ def _trained(bags: Bags, toxic: np.ndarray, landmarks: int, negatives: int, roun
     for r in range(rounds):
         pos = np.flatnonzero((witness > 0) & (sure > 0.5))
         neg = np.flatnonzero(hard & (clean > 0) & ~((witness > 0) & (sure > SURE)))
-        x = features.times(bags.codes[np.concatenate([pos, neg])], project).astype(np.float64)
+        x = np.ones((len(pos) + len(neg), project.shape[1] + 1), np.float32)
+        x[:, :-1] = features.times(bags.codes[np.concatenate([pos, neg])], project)
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         weight = np.r_[np.sqrt(witness[pos]) * sure[pos] ** 2, np.full(len(neg), NEGATIVE)]
         w, bias = machine(x, y, weight, COST)
@@ -384,7 +389,7 @@ def scored(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         of = scorer(model)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType())]))
@@ -396,7 +401,7 @@ def without_toxic(docs: DataFrame, model: Toxicity, text_col: str = "text", reje
 
     def run(batches):
         of = scorer(model)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(of(b.column(where).cast(pa.string()).to_pylist()) < reject))
 
     return docs.mapInArrow(run, docs.schema)
