@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed, kernels, scorers, text
-from .operators import records, rows
+from .operators import media, records, rows
 from .plans import profile
 from .plans.pipeline import Step, funnel, lower, spread, with_args
 from .plans.recipes import RECIPES, recipe
@@ -342,13 +342,13 @@ def detection_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     images = orders.select(F.col("o_orderkey").alias("id"), F.lit("x").alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height"))
     box = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_linenumber", "l_linenumber", "l_quantity")])
-    notes = items.filter("l_quantity > 45").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("image_id"), box.alias("bbox"), F.col("l_partkey").alias("category_id"))
+    notes = items.select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("image_id"), box.alias("bbox"), F.col("l_partkey").alias("category_id"))
     out = readers.detection(images, notes)
     return out.select("image_id", F.size("boxes").cast("long").alias("n"), F.aggregate("boxes", F.lit(0.0), lambda a, b: a + F.get(b, F.lit(2))).alias("right"), F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("labels"))
 
 
 _DETECTION = """
-with a as (select l_orderkey as id, count(*) as n, sum(l_quantity::double + l_linenumber) as r, sum(l_partkey) as s from lineitem where l_quantity > 45 group by 1)
+with a as (select l_orderkey as id, count(*) as n, sum(l_quantity::double + l_linenumber) as r, sum(l_partkey) as s from lineitem group by 1)
 select o_orderkey as image_id, coalesce(n, 0) as n, coalesce(r, 0.0)::double as "right", coalesce(s, 0)::bigint as labels from orders left join a on id = o_orderkey
 """
 
@@ -376,10 +376,8 @@ def matched_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Membership in a list of texts as a semi-join."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^(\S+)", 1).alias("first"))
-    words = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", r"^(\S+)", 1).alias("first")).distinct()
-    return docs.join(words, "first", "left_semi").select("doc_id")
+    """Membership in a list as a semi-join: documents that have a label."""
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
 def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +410,82 @@ select vec_id, k, round(case when (y1 - y0) * (x1 - x0) > 0 then greatest(0, lea
 """
 
 
+# Images and videos: the tables have none, so records get paths, headers and stand-in scores that SQL can compute too.
+
+
+def _stand_in(kind: str):
+    def load():
+        import hashlib
+
+        return lambda text, paths: [int(hashlib.md5(f"{kind}|{text}|{p}".encode()).hexdigest()[:4], 16) / 65536 * _SCALE.get(kind, 1.0) for p in paths]
+
+    return load
+
+
+_SCALE = {"video_motion": 30.0, "video_duration": 10.0, "video_nsfw": 0.4}
+_SCORERS = ("image_text_similarity", "image_text_matching", "image_safety", "image_aesthetic", "video_aesthetics", "video_text_similarity", "video_motion", "video_nsfw", "video_watermark", "video_duration")
+
+
+def _media_rows(docs: DataFrame) -> DataFrame:
+    """Texts of two parts, of which the first names one image and the second two; every seventh document has no paths."""
+    body = text.text_of("text")
+    path = lambda k: F.concat(F.lit(f"m{k}/"), F.col("doc_id").cast("string"))
+    none = F.col("doc_id") % 7 == 3
+    rows = docs.select("doc_id", F.concat(F.lit("<image>\n"), body, F.lit(" <|__dj__eoc|><image> <image>\nsecond part <|__dj__eoc|>")).alias("text"), F.when(none, F.array().cast("array<string>")).otherwise(F.array(path(0), path(1), path(2))).alias("paths"))
+    shape = lambda k: F.struct((F.col("doc_id") * (3 + k) % 1200 + 1).alias("width"), (F.col("doc_id") * (5 + k) % 900 + 1).alias("height"))
+    size = lambda k: F.col("doc_id") * 977 * (k + 1) % 400_000
+    return rows.withColumns({"shapes": F.when(none, F.array().cast("array<struct<width:bigint,height:bigint>>")).otherwise(F.array(*map(shape, range(3)))), "sizes": F.when(none, F.array().cast("array<bigint>")).otherwise(F.array(*map(size, range(3))))})
+
+
+def _media(name: str) -> tuple[Query, str]:
+    """How many filters each record passes, in declared order, before the first that it fails."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        steps = with_args(media.media_recipe(name), flagged_ratio={"listed": FLAGGED}, **{op: {"model": fit(docs)} for op, fit in (("language_score", scorers.fit_language), ("perplexity", scorers.fit_words)) if any(s.op == op for s in media.media_recipe(name))})
+        rows = media.lower_media(spread(_media_rows(docs)), steps, {k: _stand_in(k) for k in _SCORERS}, "paths", annotate=True)
+        passed, alive = F.lit(0).cast("long"), F.lit(True)
+        for s in steps:
+            if f"ok_{s.tag}" in rows.columns:
+                alive = alive & F.col(f"ok_{s.tag}")
+                passed = passed + F.when(alive, 1).otherwise(0)
+        return rows.select("doc_id", passed.alias("passed"))
+
+    steps = with_args(media.media_recipe(name), flagged_ratio={"listed": FLAGGED})
+    text_steps = [s for s in steps if s.op not in ("media", "header")]
+    ctes, at = _annotated_sql(text_steps)
+    body = "'<image>' || chr(10) || coalesce(text, '') || ' <|__dj__eoc|><image> <image>' || chr(10) || 'second part <|__dj__eoc|>'"
+    ctes = ctes.replace("coalesce(text, '') as text from documents)", f"{body} as text from documents)")
+    score = lambda kind, t, k: f"(('0x' || substr(md5({_q(kind + '|')} || {t} || '|m{k}/' || doc_id), 1, 4))::int / 65536.0 * {_SCALE.get(kind, 1.0)})"
+    within = lambda v, low, high: " and ".join([f"{v} >= {low}"] * (low is not None) + [f"{v} <= {high}"] * (high is not None))
+    trimmed = lambda part: _sub(f"replace({part}, '<image>', '')", r"^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+\z")
+    tests = []
+    for s in steps:
+        if s.op == "media":
+            kind = s.args["scorer"]
+            if kind.startswith("image_text"):
+                parts = [trimmed("string_split(text, '<|__dj__eoc|>')[1]"), trimmed("string_split(text, '<|__dj__eoc|>')[2]")]
+                test = f"{within(score(kind, parts[0], 0), s.low, s.high)} or ({within(f'(({score(kind, parts[1], 1)} + {score(kind, parts[1], 2)}) / 2)', s.low, s.high)})"
+            elif kind == "video_text_similarity":
+                test = within("((" + " + ".join(score(kind, "text", k) for k in range(3)) + ") / 3)", s.low, s.high)
+            else:
+                test = " or ".join(f"({within(score(kind, 'text', k), s.low, s.high)})" for k in range(3))
+            tests.append(f"(doc_id % 7 = 3 or {test})")
+        elif s.op == "header":
+            w, h, b = ([f"(doc_id * {c + k} % {m} + 1)" for k in range(3)] for c, m in ((3, 1200), (5, 900), (0, 1)))
+            each = {"image_aspect": [f"{x}::double / {y} between 0.333 and 3.0" for x, y in zip(w, h)], "image_shape": [f"{x} between 1 and 727 and {y} between 1 and 606" for x, y in zip(w, h)], "image_bytes": [f"doc_id * 977 * {k + 1} % 400000 <= {124 * 1024}" for k in range(3)]}[s.tag]
+            tests.append("(doc_id % 7 = 3 or " + " or ".join(f"({x})" for x in each) + ")")
+        elif s.operator.kind == "filter":
+            tests.append(f"({_within_sql(s)})")
+    flags = ", ".join(f"{t} as k{i}" for i, t in enumerate(tests))
+    passed = " + ".join("case when " + " and ".join(f"k{j}" for j in range(i + 1)) + " then 1 else 0 end" for i in range(len(tests)))
+    return run, f"{ctes},\nz as (select doc_id, {flags} from {at})\nselect doc_id, ({passed})::bigint as passed from z"
+
+
+MEDIA_RECIPES = ("llava_pretrain", "general_video_refine", "video_self_evolution", "running_example")
+
 _SINGLE: dict[str, tuple[Query, str]] = {
+    **{f"media_{name}": _media(name) for name in MEDIA_RECIPES},
     **{f"map_{op}": _mapped(op) for op in ("clean_email", "normalize_punctuation", "normalize_whitespace", "remove_words_with", "clean_copyright", "clean_caption", "truncate_caption")},
     "map_remove_long_words": _mapped("remove_long_words", max_len=25),
     **{f"stat_{op}": _stat(op) for op in ("text_length", "average_line_length", "maximum_line_length", "alnum_ratio", "special_ratio", "words_num")},
@@ -443,11 +516,11 @@ _SINGLE: dict[str, tuple[Query, str]] = {
     "record_rounds": (caption_rounds, "select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as round from conversations"),
     "record_splits": (ordered_splits, "select doc_id, case when n < 50 then 'calibration' when n < 80 then 'pilot' else 'formal' end as split from (select doc_id, row_number() over (order by doc_id) - 1 as n from documents) where n < 120"),
     "record_matched": (matched_labels, "select lang, quality, count(*) as n, sum(toxic)::bigint as toxic from labels join documents using (doc_id) group by all"),
-    "record_semi_join": (listed_documents, r"select doc_id from documents where regexp_extract(text, '^(\S+)', 1) in (select regexp_extract(text, '^(\S+)', 1) from benchmark)"),
+    "record_semi_join": (listed_documents, "select doc_id from documents where doc_id in (select doc_id from labels)"),
     "record_anti_join": (unlabelled_documents, "select doc_id from documents where doc_id not in (select doc_id from labels)"),
     "array_unit_length": (_vector(records.unit_length), "with e as (select vec_id, embedding, sqrt(list_sum([x::double * x::double for x in embedding])) as n from embeddings) select vec_id, len(embedding) as n, round(case when e.n > 0 then list_sum([abs(x::double) for x in embedding]) / e.n else 0 end, 6) as total from e"),
     "array_normalize": (_vector(lambda x: records.normalized(F.transform(x, lambda v: v.cast("double")), 0.1307, 0.3081)), "select vec_id, len(embedding) as n, round(list_sum([abs((x::double - 0.1307) / 0.3081) for x in embedding]), 6) as total from embeddings"),
-    "array_tokens": (token_sequence, "with e as (select vec_id, [floor(abs(x) * 1000)::int for x in embedding[1:20]] as t from embeddings) select vec_id, 32::bigint as n, (1 + list_sum([x + 1 for x in t]) + 2)::bigint as total, 1::bigint as bos from e"),
+    "array_tokens": (token_sequence, "with e as (select vec_id, [floor(abs(x) * 1000)::int for x in embedding] as t from embeddings) select vec_id, 256::bigint as n, (1 + list_sum([x + 1 for x in t]) + 2)::bigint as total, 1::bigint as bos from e"),
     "array_boxes": (box_algebra, _BOXES),
 }
 
