@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..functions.scratch import unused
 from .rows import with_ordinal
 
 IMAGE, END = "<image>", "<|__dj__eoc|>"
@@ -103,24 +104,26 @@ def collected_views(df: DataFrame, n: int, out: str = "views") -> DataFrame:
 
 def splits(df: DataFrame, sizes: Mapping[str, int], order: Sequence[str]) -> DataFrame:
     """df with split: disjoint stretches of the given order. Rows after the last stretch go."""
-    rows, start, name = with_ordinal(df, order, "__n"), 0, F.lit(None).cast("string")
+    place = unused("n", df)
+    rows, start, name = with_ordinal(df, order, place), 0, F.lit(None).cast("string")
     for k, n in sizes.items():
-        name = F.when(F.col("__n").between(start, start + n - 1), F.lit(k)).otherwise(name)
+        name = F.when(F.col(place).between(start, start + n - 1), F.lit(k)).otherwise(name)
         start += n
-    return rows.withColumn("split", name).filter("split is not null").drop("__n")
+    return rows.withColumn("split", name).filter("split is not null").drop(place)
 
 
 def matched(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """The join on a key that every left row must find; one that doesn't ends the job."""
-    marked = right.withColumn("__there", F.lit(True))
-    return checked(left.join(marked, on, "left"), F.col("__there"), f"a {on} has no partner").drop("__there")
+    there = unused("there", left, right)
+    return checked(left.join(right.withColumn(there, F.lit(True)), on, "left"), F.col(there), f"a {on} has no partner").drop(there)
 
 
 def rounds(df: DataFrame, group: str, order: Sequence[str], per_group: int | None = None) -> DataFrame:
     """df with round: the place of each row within its group; per_group demands that many rows of each."""
     rows = df.withColumn("round", F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1)
     if per_group is not None:
-        rows = checked(rows.withColumn("__c", F.count("*").over(W.partitionBy(group))), F.col("__c") == per_group, f"not {per_group} rows for each {group}").drop("__c")
+        many = unused("many", rows)
+        rows = checked(rows.withColumn(many, F.count("*").over(W.partitionBy(group))), F.col(many) == per_group, f"not {per_group} rows for each {group}").drop(many)
     return rows
 
 

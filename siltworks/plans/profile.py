@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import Doc
 from ..operators.rows import boundary
-from .order import Cost, cheapest
+from .order import Cost, cache_point, cheapest, fastest_filters_first, order_count, shrinking_first
 from .pipeline import Step, lower
 
 
@@ -58,9 +59,46 @@ def sampled(df: DataFrame, steps: Sequence[Step], text: str = "text", rows: int
     return out
 
 
+@dataclass(frozen=True)
+class PlanOptions:
+    """What a planner may do. What it can't decide here (workers, prefetching, backends) is Spark's.
+
+    reorder: move steps at all. policy: cheapest (dynamic programming by cost), fastest (fastest filters first) or shrinking. samples: rows of
+    the profile. cache: look for a point after which rows are worth keeping for `passes` passes, read at so many seconds a byte. most_orders:
+    beyond so many legal orders, the fastest-first order is taken instead of a search.
+    """
+
+    reorder: bool = True
+    policy: str = "cheapest"
+    samples: int = 200
+    cache: bool = False
+    passes: int = 2
+    read_seconds_a_byte: float = 1e-9
+    most_orders: int = 10**15
+
+
+def plan(df: DataFrame, steps: Sequence[Step], options: PlanOptions = PlanOptions(), text: str = "text") -> tuple[list[Step], int | None]:
+    """The steps in the order of the options, and after how many of them to keep the rows (None: nowhere)."""
+    steps = list(steps)
+    costs = sampled(df, steps, text, options.samples)
+    size = 1000.0
+    if not options.reorder:
+        best = list(range(len(steps)))
+    elif options.policy == "shrinking":
+        best = shrinking_first(steps, {s.tag: c.keeps * c.grows for s, c in zip(steps, costs)})
+    elif options.policy == "fastest" or order_count(steps) > options.most_orders:
+        best = fastest_filters_first(steps, {s.tag: c.slope * size + c.base for s, c in zip(steps, costs)})
+    elif options.policy == "cheapest":
+        best = cheapest(steps, costs, size)
+    else:
+        raise ValueError(f"cheapest, fastest or shrinking, not {options.policy!r}")
+    at = cache_point(best, steps, costs, size, options.read_seconds_a_byte, options.passes) if options.cache else None
+    return [steps[i] for i in best], at
+
+
 def planned(df: DataFrame, steps: Sequence[Step], text: str = "text") -> list[Step]:
     """The steps in the legal order that costs least by a sample."""
-    return [steps[i] for i in cheapest(steps, sampled(df, steps, text))]
+    return plan(df, steps, text=text)[0]
 
 
 def measured(df: DataFrame, steps: Sequence[Step], text: str = "text", rows: int = 2000, parts: int = 3) -> list[Cost]:

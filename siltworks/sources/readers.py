@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
+from http.client import HTTPException
 from typing import Any
 
 import pyarrow as pa
@@ -10,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.rows import shard, with_ordinal
+from ..functions.scratch import unused
+from ..functions.text import rooted
+from ..operators.rows import prefix, shard
 
 
 def _limited(df: DataFrame, order: Sequence, rank_spec: tuple[int, int] | None, max_samples: int | None) -> DataFrame:
@@ -20,7 +24,7 @@ def _limited(df: DataFrame, order: Sequence, rank_spec: tuple[int, int] | None,
     if rank_spec is not None:
         return shard(df, rank_spec[0], rank_spec[1], order, max_samples)
     if max_samples is not None:
-        return with_ordinal(df, order, "__n").filter(F.col("__n") < max_samples).drop("__n")
+        return prefix(df, max_samples, order)
     return df
 
 
@@ -31,9 +35,16 @@ def items(spark: SparkSession, rows: Iterable[Any], schema: str, rank_spec: tupl
 
 
 def lines(spark: SparkSession, path: str | list[str], rank_spec: tuple[int, int] | None = None, max_samples: int | None = None) -> DataFrame:
-    """(value): one row a line of UTF-8 text, without line ends at either side. Blank lines are rows. Order is that of the files."""
+    """(value): one row a line of UTF-8 text, without line ends at either side. Blank lines are rows.
+
+    Prefixes and shards are in source order: files by path, and lines as they stand there. Spark deals blocks to tasks by size, so the order
+    is that of file and block, and of rows within a block.
+    """
     df = spark.read.text(path).withColumn("value", F.regexp_replace("value", r"^[\r\n]+|[\r\n]+$", ""))
-    return _limited(df, (), rank_spec, max_samples)
+    if rank_spec is None and max_samples is None:
+        return df
+    df = df.withColumns({"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "row": F.monotonically_increasing_id()})
+    return _limited(df, ["file", "block", "row"], rank_spec, max_samples).select("value")
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str = "raw_content string, text string, meta string", max_samples: int | None = None) -> DataFrame:
@@ -43,10 +54,11 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str = "raw_co
 def parse_json(df: DataFrame, column: str, schema: str = "raw_content string, text string, meta string") -> DataFrame:
     """The fields of a JSON object a row; raw_content falls back to text, then to empty. A row that is no JSON object is an error."""
     parsed = F.from_json(column, schema, {"mode": "FAILFAST"})
-    df = df.withColumn("__j", parsed)
+    j = unused("json", df)
+    df = df.withColumn(j, parsed)
     fields = [f.strip().split()[0] for f in schema.split(",")]
-    out = [F.coalesce("__j.raw_content", "__j.text", F.lit("")).alias(f) if f == "raw_content" else F.col(f"__j.{f}") for f in fields]
-    return df.select(*[c for c in df.columns if c not in (column, "__j", *fields)], *out)
+    out = [F.coalesce(f"{j}.raw_content", f"{j}.text", F.lit("")).alias(f) if f == "raw_content" else F.col(f"{j}.{f}") for f in fields]
+    return df.select(*[c for c in df.columns if c not in (column, j, *fields)], *out)
 
 
 def json_array(spark: SparkSession, path: str) -> DataFrame:
@@ -73,7 +85,7 @@ def file_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, line_no, line) of text files."""
     from ..operators.rows import lines_of
 
-    df = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return lines_of(df, "value", ["path"])
 
 
@@ -127,6 +139,37 @@ def detection(images: DataFrame, annotations: DataFrame, empty: bool = True, rel
     return out.withColumns({"boxes": boxes, "labels": F.coalesce(F.transform("a", lambda x: x["label"]), F.array().cast("array<bigint>"))}).drop("a")
 
 
+def word_lists(spark: SparkSession, path: str, kind: str) -> dict[str, list[str]]:
+    """The words of every language, from all JSON files of a folder whose name holds `kind`: an object of lists, merged key by key. Without a key
+    `all` it is every list after the other. The lists are small assets, and come to the driver."""
+    found = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value")
+    out: dict[str, list[str]] = {}
+    for r in found.filter(F.col("name").endswith(".json") & F.contains("name", F.lit(kind))).orderBy("name").collect():
+        for key, words in json.loads(r.value).items():
+            out.setdefault(key, []).extend(words)
+    if not out:
+        raise ValueError(f"no word list of {kind!r}")
+    out.setdefault("all", [w for words in out.values() for w in words])
+    return out
+
+
+MANIFEST = "id string, image string, conversations array<struct<`from`: string, value: string>>"
+
+
+def caption_manifest(spark: SparkSession, path: str, image_root: str | None = None, rows: int | None = None) -> DataFrame:
+    """(id, image, caption) from lines of conversations: the second turn, trimmed. Blank lines are passed over. A line without an image or a
+    second turn is an error that names its number, and so is another number of rows than `rows`. An id defaults to the image."""
+    lined = file_lines(spark, path).filter(F.trim("line") != "").withColumn("j", F.from_json("line", MANIFEST, {"mode": "PERMISSIVE"}))
+    second = F.get("j.conversations", F.lit(1))["value"]
+    ok = F.coalesce(F.col("j.image") != "", F.lit(False)) & second.isNotNull()
+    bad = F.raise_error(F.concat(F.lit("no image and caption in line "), (F.col("line_no") + 1).cast("string"))).cast("string")
+    image = F.when(~ok, bad).otherwise(F.col("j.image") if image_root is None else F.get(rooted(F.array("j.image"), image_root), F.lit(0)))
+    out = lined.withColumn("image", image).select(F.coalesce("j.id", "image").alias("id"), "image", F.regexp_replace(second, r"^\s+|\s+$", "").alias("caption"))
+    if rows is not None and (n := out.count()) != rows:
+        raise ValueError(f"{n} rows, not {rows}")
+    return out
+
+
 def web(urls: DataFrame, url: str = "url", timeout: float = 10, fetch: Callable[[str, float], bytes] | None = None, pages: DataFrame | None = None) -> DataFrame:
     """urls with content: the bytes of each page. From a table pages (url, html) if one is given; else fetched by the executors.
 
@@ -135,8 +178,9 @@ def web(urls: DataFrame, url: str = "url", timeout: float = 10, fetch: Callable[
     if timeout < 1:
         raise RuntimeError("the timeout must be a second at least")
     if pages is not None:
-        found = pages.select(F.col("url").alias("__u"), F.encode("html", "UTF-8").alias("content"))
-        return urls.join(found, urls[url] == F.col("__u"), "left").drop("__u")
+        u = unused("u", urls)
+        found = pages.select(F.col("url").alias(u), F.encode("html", "UTF-8").alias("content"))
+        return urls.join(found, urls[url] == F.col(u), "left").drop(u)
 
     def usual(address: str, seconds: float) -> bytes:
         from urllib.request import urlopen
@@ -154,7 +198,7 @@ def web(urls: DataFrame, url: str = "url", timeout: float = 10, fetch: Callable[
             for u in b.column(where).to_pylist():
                 try:
                     got.append(get(u, timeout))
-                except OSError:
+                except (OSError, ValueError, HTTPException):  # no answer, no address, or no page
                     got.append(None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], names=[*b.schema.names, "content"])
 
