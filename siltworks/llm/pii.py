@@ -44,13 +44,13 @@ KINDS: dict[str, tuple[str, str, str]] = {
     "ip": (r"(?<![\d.])", rf"(?:{_OCTET}\.){{3}}{_OCTET}", r"(?!\.?\d)"),
     "card": (r"(?<!\d)", r"(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{13,19})", r"(?!\d)"),
     "phone": (r"(?<![\p{L}\p{N}+])", r"(?:(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[.-]\d{3,4}|(?:\+?\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3} )\d{3,4} \d{4}|\+\d{1,3}(?:[ .-]?\(?\d{2,8}\)?){1,5})", r"(?!\d)"),
-    "name": (_B, rf"(?:{_TITLE} {_CAP}(?: {_CAP})?|(?:{'|'.join((*FEMALE, *MALE))}) {_CAP}|(?<=(?:{'|'.join(CUES)}) ){_CAP} {_CAP})", r"(?!\p{L})"),
+    "name": (_B, rf"(?:{_TITLE} {_CAP}(?: {_CAP})?|(?:{'|'.join((*FEMALE, *MALE))}) {_CAP}|(?=\p{{Lu}})(?<=(?:{'|'.join(CUES)}) ){_CAP} {_CAP})", r"(?!\p{L})"),
     "han": ("", rf"[{HAN_FAMILY}]\p{{IsHan}}{{0,2}}?(?:{'|'.join((*HAN_MS, *HAN_MR))})", ""),
 }
 PATTERN = "|".join(f"(?:{a}{p}{z})" for a, p, z in KINDS.values())
 
 #: Cheap conditions of which every entity meets one, so that most clean texts are passed over without the long pattern.
-HINTS = (r"[0-9@]|:[a-fA-F]{1,4}:|[a-fA-F]{32}|sk-|gh[pousr]_|AKIA|" + "|".join((*HAN_MS, *HAN_MR)), rf"(?=\p{{Lu}}){_B}(?:{'|'.join((*MS, *MR, *ANY, *FEMALE, *MALE))})[. ]|(?:{'|'.join(CUES)}) \p{{Lu}}")
+HINTS = (r"[0-9@]|:[a-fA-F]{1,4}:|[a-fA-F]{32}|sk-|gh[pousr]_|AKIA|" + "|".join((*HAN_MS, *HAN_MR)), rf"(?=\p{{Lu}})(?:{_B}(?:{'|'.join((*MS, *MR, *ANY, *FEMALE, *MALE))})[. ]|(?<=(?:{'|'.join(CUES)}) ))")
 
 #: Draws after which a surrogate gets longer; draws after which the job ends, which only kinds of fixed length could reach; copies of the table of surrogates for joins with hot values.
 WIDEN, MOST_DRAWS, SALTS = 6, 60, 8
