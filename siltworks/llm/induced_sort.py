@@ -35,6 +35,7 @@ class Queue:
     def push(self, first: np.ndarray, suffixes: np.ndarray) -> None:
         if not len(suffixes):
             return
+        first = first.astype(np.uint16)  # an alphabet of at most ALPHABET, and so a sort by counting
         order = np.argsort(first, kind="stable")
         first, suffixes = first[order], suffixes[order]
         cuts = np.flatnonzero(np.diff(first)) + 1
@@ -81,7 +82,7 @@ def rising(t: np.ndarray) -> np.ndarray:
 def induced(t: np.ndarray, up: np.ndarray, seeds: np.ndarray, alphabet: int) -> np.ndarray:
     """All suffixes in order, from the order of the seeds (the leftmost rising suffixes of each rise)."""
     low: list[list[np.ndarray]] = [[] for _ in range(alphabet)]
-    by_first = np.argsort(t[seeds], kind="stable")
+    by_first = np.argsort(t[seeds].astype(np.uint16), kind="stable")
     seeds = seeds[by_first]
     bounds = np.searchsorted(t[seeds], np.arange(alphabet + 1))
     queue = Queue(alphabet)
@@ -123,7 +124,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - step] = rank[step:] + 1
         key = rank << 32 | second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = new
@@ -162,15 +163,15 @@ def suffix_array(t: np.ndarray, alphabet: int) -> np.ndarray:
 
 def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """The length of the common prefix of suffixes a and b of t, eight bytes at a time, up to `most` (a multiple of 8)."""
-    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([t, np.zeros(most + 8, np.uint8)]), 8)
-    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.concatenate([t, np.zeros(most + 8, np.uint8)]), 8)).view(np.uint64).ravel()
+    out, live = np.full(len(a), most, np.int64), np.arange(len(a))
     for at in range(0, most, 8):
-        same = (words[a[live] + at] == words[b[live] + at]).all(1)
-        lost = live[~same]
-        if len(lost):
-            out[lost] = at + (words[a[lost] + at] == words[b[lost] + at]).argmin(1)
-        live = live[same]
-    out[live] = most
+        differ = eight[a + at] ^ eight[b + at]
+        lost = differ != 0
+        low = differ[lost]
+        low &= ~low + np.uint64(1)  # the lowest bit in which they differ
+        out[live[lost]] = at + np.log2(low.astype(np.float64)).astype(np.int64) // 8
+        a, b, live = a[~lost], b[~lost], live[~lost]
     return out
 
 

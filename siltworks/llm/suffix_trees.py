@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,34 +11,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import Shape, _arrow, covered, repeated, texts_of, word_units
+from .anchors import BASES, Shape, _arrow, covered, mixed, repeated, texts_of, word_units
 
 WINDOW, GRAM = 50, 25
 SHAPE = Shape(WINDOW, GRAM, word_units)
 
 
 def stored_words(text: bytes, codes: np.ndarray) -> tuple[np.ndarray, int]:
-    return (codes >> np.uint64(32)).astype(np.uint32), 4
+    return codes, 8
 
 
 def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The suffix tree of a group, cut at the width of `suffixes` (one row of words each): the leaves in order, and the depth of the node
     that each leaf shares with the one before it."""
-    pairs = suffixes[:, 0::2].astype(np.uint64) << np.uint64(32)
-    pairs[:, : suffixes[:, 1::2].shape[1]] |= suffixes[:, 1::2]
-    order = np.lexsort(pairs.T[::-1])
+    order = np.lexsort(suffixes.T[::-1])
     at = suffixes[order]
     same = at[1:] == at[:-1]
     depth = np.where(same.all(1), suffixes.shape[1], same.argmin(1))
     return order, np.concatenate([[0], depth])
 
 
+#: Suffixes of which a subtree is built at once.
+GROUP = 20_000
+
+
+def prefix_groups(flat: np.ndarray, start: np.ndarray, window: int, most: int | None = None) -> Iterator[np.ndarray]:
+    """Which suffixes share a prefix, in groups of at most `most`: a prefix with more suffixes is made longer by a word, as often as it takes. A
+    group of one is left out, as nothing repeats in it; one that shares the whole window is given as it is, whatever its size."""
+    most = most or GROUP
+    stack = [(np.arange(len(start)), 0)]
+    while stack:
+        some, depth = stack.pop()
+        if depth >= window:
+            yield some
+            continue
+        # Prefixes begin with two words, which make one number.
+        word = flat[start[some] + depth] if depth else mixed(flat[start] + flat[start + 1] * np.uint64(BASES[1]))
+        depth += 1 if depth else 2
+        order = np.argsort(word, kind="stable")
+        some, word = some[order], word[order]
+        edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+        sizes = np.diff(np.concatenate([[0], edges, [len(some)]]))
+        large = np.repeat(sizes > most, sizes)
+        if large.any():
+            stack.extend((part, depth) for part in np.split(some, edges) if len(part) > most)
+        # Small groups: neighbouring ones are sorted together, as a forest, up to that many suffixes.
+        kept = some[np.repeat(sizes > 1, sizes) & ~large]
+        ends = np.cumsum(sizes[(sizes > 1) & (sizes <= most)])
+        at = 0
+        while at < len(ends):
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+            yield kept[base : ends[to - 1]]
+            at = to
+
+
 def earlier_windows(rows: list[tuple], window: int = WINDOW) -> list[tuple[int, int, int]]:
     """(row, low, high) of every window that also is in a text with a smaller first_id.
 
-    Suffixes of a group share its prefix. A node of depth `window` is a run of leaves; a leaf is repeated if its run has a smaller id.
+    Suffixes of a group share its prefix, or those of a few small groups are sorted at once. A node of depth `window` is a run of leaves; a
+    leaf is repeated if its run has a smaller id. Words are compared by hashes of 64 bits, so windows are equal in 3,200.
     """
-    words = [np.frombuffer(r[4], np.uint32) for r in rows]
+    words = [np.frombuffer(r[4], np.uint64) for r in rows]
     sizes = np.array([len(w) for w in words])
     counts = np.maximum(sizes - window + 1, 0)
     if not counts.sum():
@@ -48,24 +83,7 @@ def earlier_windows(rows: list[tuple], window: int = WINDOW) -> list[tuple[int,
     start = (np.cumsum(sizes) - sizes)[row] + offset
     ids = np.array([r[2] for r in rows], np.int64)[row]
     hit = np.zeros(len(start), bool)
-    # The first two words are the variable part of the prefix: subtrees are built over slices of suffixes that begin alike.
-    lead = flat[start].astype(np.uint64) << np.uint64(32) | flat[start + 1]
-    by_lead = np.argsort(lead, kind="stable")
-    edges = np.flatnonzero(np.diff(lead[by_lead], prepend=lead[by_lead[0]] + np.uint64(1)))
-    sizes_of = np.diff(np.concatenate([edges, [len(by_lead)]]))
-    wanted = np.repeat(sizes_of > 1, sizes_of)
-    by_lead = by_lead[wanted]
-    for a in range(0, len(by_lead), 200_000):
-        b = min(a + 200_000, len(by_lead))
-        while a > 0 and lead[by_lead[a]] == lead[by_lead[a - 1]]:
-            a += 1
-            if a == b:
-                break
-        while b < len(by_lead) and lead[by_lead[b]] == lead[by_lead[b - 1]]:
-            b += 1
-        if a >= b:
-            continue
-        part = by_lead[a:b]
+    for part in prefix_groups(flat, start, window):
         order, depth = subtree(flat[start[part][:, None] + np.arange(window)])
         leaf = part[order]
         node = np.flatnonzero(depth < window)
@@ -95,7 +113,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     those with the smallest id lose all words, if there are 50. Null and empty texts have no words. A null id counts as the largest.
     """
     rows, different = texts_of(docs, id_col, text_col)
-    ranges = repeated(different, SHAPE, True, stored_words, 4, earlier_windows)
+    ranges = repeated(different, SHAPE, True, stored_words, 8, earlier_windows)
     joined = different.select("key", "text", "first_id", "copies").join(ranges, "key", "left")
 
     def run(batches):

@@ -70,6 +70,29 @@ def test_chat_round_trip(spark):
     assert chat_format.chat_format(chat_format.as_chains(conv.filter("false"))).count() == 0
 
 
+def test_chat_roles_repeats_and_long_conversations(spark):
+    roles = ["</s>", "[INST]", "a|b\n%7C%25\\x00", "\x00\x01", "", None, "assistant", "<|end|>\n"]
+    rows = [(1, t, r, f"text {t}") for t, r in enumerate(roles)]
+    rows += [(2, 5, "user", "same"), (2, 5, "user", "same"), (2, 5, "assistant", "tied"), (2, None, "user", "first")]
+    rows += [(3, t, ("user", "assistant")[t % 2], f"{t} </s>") for t in range(700)]
+    rows += [(4, 0, "user", "x" * 300_000), (None, 0, "user", "no id")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"node": F.lit("x"), "tree": F.lit(1)})
+    out = {r.tree: r for r in chat_format.read_back(chat_format.chat_format(chat_format.as_chains(conv))).collect()}
+    assert [(t.role, t.text) for t in out[1].turns] == [(r or "", f"text {k}") for k, r in enumerate(roles)]
+    assert not re.search(r"</?s>|\[/?INST\]", out[1].conversation) and out[1].conversation.count("<|end|>") == len(roles)
+    assert [t.text for t in out[2].turns] == ["first", "tied", "same", "same"]
+    assert [t.text for t in out[3].turns] == [f"{t} </s>" for t in range(700)] and len(out[3].loss_texts) == 350
+    assert len(out[4].turns[0].text) == 300_000 and out[None].turns[0].text == "no id"
+
+
+def test_reply_trees_with_cycles(spark):
+    """Leaves below a cycle beside a long chain: neither paths nor rounds come from the cycle."""
+    rows = [("t", 0, 1), ("t", 1, 0)] + [("t", 10 + k, k % 2) for k in range(20)] + [("c", k, k - 1 if k else None) for k in range(200)] + [("s", 7, 7)]
+    trees = spark.createDataFrame(rows, "tree string, node int, parent int").withColumn("score", F.lit(1.0))
+    got = chat_format.root_to_leaf(trees).collect()
+    assert [(r.tree, r.leaf, r.node) for r in sorted(got, key=lambda r: r.depth)] == [("c", 199, k) for k in range(200)]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text("<>[]\\|/sINSTY e\n", max_size=12), min_size=1, max_size=20))
 def test_escape_is_reversible(spark, texts):
@@ -148,9 +171,10 @@ def brute_bytes(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [2_000, 2])
-def test_byte_dedup(docs, mixture, empty, monkeypatch, hot):
-    monkeypatch.setattr(anchors, "HOT", hot)
+@pytest.mark.parametrize("hot,burning,often,combined", [(2_000, 20_000, 32, 4_000_000), (2, 20_000, 2, 1), (2, 20_000, 2, 4_000_000), (2, 3, 2, 500)])
+def test_byte_dedup(docs, mixture, empty, monkeypatch, hot, burning, often, combined):
+    for name, value in {"HOT": hot, "BURNING": burning, "OFTEN": often, "COMBINED": combined, "ENGINE_BYTES": 5_000 * hot, "HELD_BYTES": 5_000 * hot}.items():
+        monkeypatch.setattr(anchors, name, value)
     assert Counter(tuple(r) for r in induced_sort.byte_dedup(docs).collect()) == brute_bytes(mixture)
     assert induced_sort.byte_dedup(empty).count() == 0
 
@@ -177,9 +201,11 @@ def brute_words(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [2_000, 2])
-def test_substring_dedup(docs, mixture, empty, monkeypatch, hot):
-    monkeypatch.setattr(anchors, "HOT", hot)
+@pytest.mark.parametrize("hot,burning,often,combined,group", [(2_000, 20_000, 32, 4_000_000, 20_000), (2, 20_000, 2, 1, 2), (2, 20_000, 2, 4_000_000, 30), (2, 3, 2, 500, 5)])
+def test_substring_dedup(docs, mixture, empty, monkeypatch, hot, burning, often, combined, group):
+    for name, value in {"HOT": hot, "BURNING": burning, "OFTEN": often, "COMBINED": combined, "ENGINE_BYTES": 5_000 * hot, "HELD_BYTES": 5_000 * hot}.items():
+        monkeypatch.setattr(anchors, name, value)
+    monkeypatch.setattr(suffix_trees, "GROUP", group)
     assert Counter(tuple(r) for r in suffix_trees.substring_dedup(docs).collect()) == brute_words(mixture)
     assert suffix_trees.substring_dedup(empty).count() == 0
 
@@ -249,10 +275,10 @@ def test_decontamination(spark, docs, empty):
     def changed(text, every):
         return " ".join("zz" if every and i % every == every - 1 else w for i, w in enumerate(text.split()))
 
-    rows = [(1, f"{sentence(rng, 30)} {items[0][1].upper()}! {sentence(rng, 3)}", "s"), (2, changed(items[1][1], 9), "s"), (3, changed(items[2][1], 2), "s"), (4, items[3][1], "s"), (5, items[4][1][400:], "s"), (6, None, "s"), (7, "", "s"), (8, sentence(rng, 500), "s"), (8, items[0][1], "s")]
+    rows = [(1, f"{sentence(rng, 30)} {items[0][1].upper()}! {sentence(rng, 3)}", "s"), (2, changed(items[1][1], 9), "s"), (3, changed(items[2][1], 2), "s"), (4, f"oh {items[3][1]}", "s"), (5, items[4][1][400:], "s"), (6, None, "s"), (7, "", "s"), (8, sentence(rng, 500), "s"), (8, items[0][1], "s")]
     got = {r.doc_id: (r["items"], r.contaminated) for r in decontamination.decontamination(frame(spark, rows), bench).collect()}
-    assert got == {1: ([0], True), 2: ([1], True), 3: ([], False), 4: ([], False), 5: ([4], True), 6: ([], False), 7: ([], False), 8: ([0], True)}
-    assert {r.doc_id for r in decontamination.without_contaminated(frame(spark, rows), bench).collect()} == {3, 4, 6, 7}
+    assert got == {1: ([0], True), 2: ([1], True), 3: ([], False), 4: ([3], True), 5: ([4], True), 6: ([], False), 7: ([], False), 8: ([0], True)}
+    assert {r.doc_id for r in decontamination.without_contaminated(frame(spark, rows), bench).collect()} == {3, 6, 7}
     assert decontamination.decontamination(empty, bench).count() == 0
     assert decontamination.decontamination(docs, bench.filter("false")).filter("contaminated").count() == 0
 
