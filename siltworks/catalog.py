@@ -410,6 +410,153 @@ select vec_id, k, round(case when (y1 - y0) * (x1 - x0) > 0 then greatest(0, lea
 """
 
 
+# Rows and records that other operators are made of
+
+
+def detection_file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only orders with lines, and boxes relative to the frame."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    images = orders.select(F.col("o_orderkey").alias("id"), F.lit("x").alias("file_name"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    box = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_linenumber", "l_linenumber", "l_quantity")])
+    notes = items.filter("l_linenumber > 2").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("image_id"), box.alias("bbox"), F.col("l_partkey").alias("category_id"))
+    out = readers.detection(images, notes, empty=False, relative=True)
+    return out.select("image_id", F.size("boxes").cast("long").alias("n"), F.round(F.aggregate("boxes", F.lit(0.0), lambda a, b: a + F.aggregate(b, F.lit(0.0), lambda c, v: c + v)) * 1920, 3).alias("total"))
+
+
+def noop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.noop(table(spark, sf_dir, "benchmark"))
+
+
+def fused_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plus = lambda d: d.withColumn("x", F.col("x") + 1)
+    return rows.fused(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("x")), [plus, lambda d: d.filter("x % 2 = 0"), plus])
+
+
+def cached_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two passes over rows that are kept after the first."""
+    kept = rows.cached(table(spark, sf_dir, "documents").select("lang", F.length(text.text_of("text")).alias("n")))
+    return kept.groupBy("lang").agg(F.count("*").alias("n_rows"), F.sum("n").alias("chars")).crossJoin(F.broadcast(kept.agg(F.max("n").alias("longest"))))
+
+
+def text_normalizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record's caption, repaired and with plain punctuation."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("caption"))
+    return lower(docs, [Step("u", "fix_unicode"), Step("p", "normalize_punctuation")], text="caption")
+
+
+def image_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One image or a list of them, below a root unless a path is absolute."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.lit(None)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("p/"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("/abs/"), F.col("page_id").cast("string"))).alias("image"))
+    return media.rooted_records(media.image_records(pages), "/data/").select("page_id", F.array_join("images", ",").alias("images"))
+
+
+def video_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.col("turn").alias("sentence_id"), F.when(F.col("turn") % 2 == 0, F.array(F.concat(F.lit("v"), F.col("conv_id").cast("string")))).alias("videos"), "text", "role")
+    out = media.video_output(media.rooted_records(turns, "/videos", "videos"))
+    return out.select("video_id", "sentence_id", F.array_join("videos", ",").alias("videos"), "text")
+
+
+def output_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).alias("text"), F.col("url").alias("raw_content"))
+    return pages.select("page_id", records.output_text(pages).alias("out"))
+
+
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field changed, and views of a record collected into one array."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    changed = records.on_field(parts, "p_size", lambda c: c * 2)
+    fanned = changed.withColumns({f"view{k}": F.col("p_size") + k for k in range(3)})
+    return records.collected_views(fanned, 3).select("p_partkey", F.aggregate("views", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.size("views").cast("long").alias("n"))
+
+
+def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.array(F.col("doc_id") % 40, (F.col("doc_id") * 7) % 90, F.col("doc_id") % 40)
+    docs = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
+    got = records.embedded(docs, "ids", table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "doc_id")
+    return got.select("doc_id", F.size("vectors").cast("long").alias("n"), F.round(F.aggregate("vectors", F.lit(0.0), lambda a, v: a + F.get(v, F.lit(0)).cast("double") + 2 * F.get(v, F.lit(1)).cast("double")), 6).alias("total"))
+
+
+def _box_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two boxes a vector: (top, left, bottom, right) of its first eight values, moved by half of a unit."""
+    boxes = F.array(*[F.array(*[F.get("embedding", F.lit(4 * k + i)).cast("double") + (0.9 if i > 1 else 0.1) for i in range(4)]) for k in range(2)])
+    return table(spark, sf_dir, "embeddings").select("vec_id", boxes.alias("boxes"))
+
+
+def boxes_in_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75, 2.5)])
+    out = _box_rows(spark, sf_dir).select("vec_id", records.boxes_resized(F.col("boxes"), ref).alias("b"))
+    return out.select("vec_id", F.round(F.aggregate(F.flatten("b"), F.lit(0.0), lambda a, v: a * 0.5 + v), 6).alias("mix"))
+
+
+def boxes_that_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _box_rows(spark, sf_dir).select("vec_id", records.boxes_kept(F.col("boxes"), F.array(F.lit(1), F.lit(2))).alias("kept"))
+    return out.select("vec_id", F.array_join(F.transform("kept", lambda x: x["label"].cast("string")), ",").alias("labels"))
+
+
+def boxes_mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mirrored in a frame, and those of them that are sane there, counted."""
+    out = _box_rows(spark, sf_dir).select("vec_id", records.boxes_flipped(F.col("boxes"), F.lit(1.2)).alias("b"))
+    return out.select("vec_id", F.round(F.aggregate(F.flatten("b"), F.lit(0.0), lambda a, v: a * 0.5 + v), 6).alias("mix"), F.size(records.boxes_sane(F.col("b"), F.lit(1.2), F.lit(1.1), 0.2)).cast("long").alias("sane"))
+
+
+def counted_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.byte_prefix(docs, 100_000, F.octet_length(text.text_of("text")) + 1, [F.desc("doc_id")], least_rows=5).select("doc_id")
+
+
+def resumed_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.exact_prefix(docs, 150, F.octet_length(text.text_of("text")) + 1, 1 << 40, ["doc_id"], done=40).select("doc_id")
+
+
+_B = "select vec_id, embedding, [embedding[1]::double + 0.1, embedding[2]::double + 0.1, embedding[3]::double + 0.9, embedding[4]::double + 0.9] as p, [embedding[5]::double + 0.1, embedding[6]::double + 0.1, embedding[7]::double + 0.9, embedding[8]::double + 0.9] as q from embeddings"
+
+
+def _mix(values: list[str]) -> str:
+    out = "0.0"
+    for v in values:
+        out = f"({out} * 0.5 + {v})"
+    return f"round({out}, 6)"
+
+
+def _in_frame(box: str) -> list[str]:
+    return [f"({box}[{i + 1}] - {(0.25, 0.5)[i % 2]}) / {(0.5, 2.0)[i % 2]}" for i in range(4)]
+
+
+def _flip(box: str) -> list[str]:
+    return [f"(1.2 - {box}[3])", f"{box}[2]", f"(1.2 - {box}[1])", f"{box}[4]"]
+
+
+def _kept(box: str, label: int) -> str:
+    area = f"(({box}[3] - {box}[1]) * ({box}[4] - {box}[2]))"
+    inside = f"greatest(0.0, least({box}[3], 1) - greatest({box}[1], 0)) * greatest(0.0, least({box}[4], 1) - greatest({box}[2], 0))"
+    return f"case when {area} > 0 and {inside} / {area} > 0.5 then '{label}' end"
+
+
+def _sane(box: str) -> str:
+    a, b, c, d = _flip(box)
+    return f"case when {c} - {a} >= 0.2 and {d} - {b} >= 0.2 and {a} >= 0 and {b} >= 0 and {c} <= 1.2 and {d} <= 1.1 then 1 else 0 end"
+
+
+_RECORDS: dict[str, tuple[Query, str]] = {
+    "source_detection_file": (detection_file_source, "select l_orderkey as image_id, count(*) as n, round(sum(l_quantity::double / 640 + l_linenumber::double / 480 + (l_quantity::double + l_linenumber) / 640 + (l_linenumber::double + l_quantity) / 480) * 1920, 3) as total from lineitem where l_linenumber > 2 and l_orderkey in (select o_orderkey from orders) group by 1"),
+    "source_counted_prefix": (counted_prefix, "select doc_id from (select doc_id, row_number() over (order by doc_id desc) as n, sum(strlen(coalesce(text, '')) + 1) over (order by doc_id desc) as s from documents) where s <= 100000 or n = 1"),
+    "source_resumed_prefix": (resumed_prefix, "select doc_id from (select doc_id, row_number() over (order by doc_id) as n from documents) where n > 40 and n <= 150"),
+    "op_noop": (noop, "select * from benchmark"),
+    "op_fused": (fused_chain, "select o_orderkey + 2 as x from orders where (o_orderkey + 1) % 2 = 0"),
+    "op_cached": (cached_rows, "select lang, count(*) as n_rows, sum(length(coalesce(text, '')))::bigint as chars, (select max(length(coalesce(text, ''))) from documents) as longest from documents group by 1"),
+    "map_text_normalizer": (text_normalizer, f"select doc_id, {_punct_sql(_SQL['fix_unicode']("coalesce(text, '')"))} as caption from documents"),
+    "record_images": (image_lists, "select page_id, case page_id % 3 when 0 then '' when 1 then '/data/p/' || page_id else '/abs/' || page_id end as images from pages"),
+    "record_videos": (video_records, "select conv_id as video_id, turn as sentence_id, case when turn % 2 = 0 then '/videos/v' || conv_id else '' end as videos, coalesce(text, '') as text from conversations"),
+    "record_output_text": (output_texts, "select page_id, coalesce(url, '') as out from pages"),
+    "record_views": (views, "select p_partkey, (p_size * 6 + 3)::bigint as total, 3::bigint as n from part"),
+    "array_embedded": (embedding_lookup, "with d as (select doc_id, unnest([doc_id % 40, (doc_id * 7) % 90, doc_id % 40]) as vec_id from documents) select doc_id, count(*) as n, round(sum(embedding[1]::double + 2 * embedding[2]::double), 6) as total from d join embeddings using (vec_id) group by 1"),
+    "array_boxes_resized": (boxes_in_frame, f"with b as ({_B}) select vec_id, {_mix(_in_frame('p') + _in_frame('q'))} as mix from b"),
+    "array_boxes_kept": (boxes_that_stay, f"with b as ({_B}) select vec_id, array_to_string([x for x in [{_kept('p', 1)}, {_kept('q', 2)}] if x is not null], ',') as labels from b"),
+    "array_boxes_flipped": (boxes_mirrored, f"with b as ({_B}) select vec_id, {_mix(_flip('p') + _flip('q'))} as mix, ({_sane('p')} + {_sane('q')})::bigint as sane from b"),
+}
+
+
 # Images and videos: the tables have none, so records get paths, headers and stand-in scores that SQL can compute too.
 
 
@@ -485,6 +632,7 @@ def _media(name: str) -> tuple[Query, str]:
 MEDIA_RECIPES = ("llava_pretrain", "general_video_refine", "video_self_evolution", "running_example")
 
 _SINGLE: dict[str, tuple[Query, str]] = {
+    **_RECORDS,
     **{f"media_{name}": _media(name) for name in MEDIA_RECIPES},
     **{f"map_{op}": _mapped(op) for op in ("clean_email", "normalize_punctuation", "normalize_whitespace", "remove_words_with", "clean_copyright", "clean_caption", "truncate_caption")},
     "map_remove_long_words": _mapped("remove_long_words", max_len=25),
