@@ -161,7 +161,7 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
-    kinds = {T.BinaryType: pa.binary(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}
+    kinds = {T.BinaryType: pa.binary(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.ArrayType: pa.list_(pa.int32())}
     return pa.schema([(f.name, kinds[type(f.dataType)]) for f in schema])
 
 
@@ -183,27 +183,33 @@ def stretches(b: pa.RecordBatch, shape: Shape, contexts: bool) -> Iterator[tuple
         yield tuple(map(np.concatenate, zip(*held)))
 
 
-def combined(gram: np.ndarray, context: np.ndarray, first: np.ndarray, earlier: bool) -> np.ndarray:
-    """For anchors of one task: how many with its context each stands for, and 0 if it is known to repeat by another one that stays."""
+def combined(gram: np.ndarray, context: np.ndarray, first: np.ndarray, row: np.ndarray, earlier: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For anchors of one task: how many with its context each stands for, and 0 if it is known to repeat by another one that stays; and the
+    anchor of the same text with the same context that stands for it too (its own number if none does)."""
+    n = np.arange(len(gram))
     order = np.argsort(gram ^ (context << np.uint64(1)), kind="stable")
     g, c = gram[order], context[order]
     start = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))
     size = np.diff(np.append(start, len(order)))
-    same = np.zeros(len(order), np.int32)
-    if earlier:
-        same[order] = first[order] == np.repeat(np.minimum.reduceat(first[order], start), size)
-    else:
+    same, by = np.zeros(len(order), np.int32), n.copy()
+    if not earlier:
         same[order[start]] = size
-    return same
+        return same, by
+    least = first[order] == np.repeat(np.minimum.reduceat(first[order], start), size)
+    head = np.repeat(np.minimum.reduceat(np.where(least, n, len(n)), start), size)
+    folded = least & (n != head) & (row[order] == row[order][head])
+    same[order] = least
+    by[order[folded]] = order[head[folded]]
+    return same, by
 
 
-ANCHOR = T.StructType([T.StructField("key", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("first_id", "gram", "context")], *[T.StructField(n, T.IntegerType()) for n in ("place", "high", "same")]])
+ANCHOR = T.StructType([T.StructField("key", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("first_id", "gram", "context")], *[T.StructField(n, T.IntegerType()) for n in ("place", "high", "same")], T.StructField("also", T.ArrayType(T.IntegerType()))])
 FREQUENT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("often", T.LongType())])
 
 
 def anchors(different: DataFrame, shape: Shape, earlier: bool) -> DataFrame:
-    """Every anchor. Of those with one context in a task, one moves on for all (earlier: those of the smallest id). The others are known to
-    repeat; they have a 0 as `same`, and no gram, but a number by which they are spread. first_id is 0 where only places count."""
+    """Every anchor. Of those with one context in a task, one moves on for all (earlier: of the smallest id, with the other places of its text in
+    `also`). The others are known to repeat; they have a 0 as `same`, and no gram, but a number by which they are spread. first_id is 0 where only places count."""
 
     def run(batches):
         for b in batches:
@@ -212,9 +218,14 @@ def anchors(different: DataFrame, shape: Shape, earlier: bool) -> DataFrame:
                 if not len(row):
                     continue
                 first = ids[row] if earlier else np.zeros(len(row), np.int64)
-                same = combined(gram, context, first, earlier)
+                same, by = combined(gram, context, first, row, earlier)
                 gram = np.where(same == 0, mixed(context + place.astype(np.uint64) * np.uint64(BASES[1]) + row.astype(np.uint64)), gram)
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row)), pa.array(first), *[pa.array(x.view(np.int64)) for x in (gram, context)], *[pa.array(x.astype(np.int32)) for x in (place, high, same)]], schema=_arrow(ANCHOR))
+                stays = by == np.arange(len(by))
+                folded = np.flatnonzero(~stays)
+                folded = folded[np.argsort(by[folded], kind="stable")]
+                ends = np.cumsum(np.bincount(by[folded], minlength=len(by))[stays])
+                also = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(place[folded].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row[stays])), pa.array(first[stays]), *[pa.array(x[stays].view(np.int64)) for x in (gram, context)], *[pa.array(x[stays].astype(np.int32)) for x in (place, high, same)], also], schema=_arrow(ANCHOR))
 
     return different.select("key", "text", "first_id", "copies").mapInArrow(run, ANCHOR)
 
@@ -251,7 +262,7 @@ def judged(found: DataFrame, hot: DataFrame, earlier: bool) -> DataFrame:
         sure, open_ = F.col("least") < F.col("first_id"), (F.col("least") == F.col("first_id")) & (F.col("turn") > 0) & (F.col("all") > 0)
     else:
         sure, open_ = (F.col("all") > 1) & (F.col("turn") > 0), (F.col("turn") == 1) & (F.col("least") <= F.col("first_id")) & (F.col("all") > 0)
-    return rows.select("key", "first_id", "gram", "place", "high", "n", ((F.col("same") == 0) | sure).alias("sure"), ((F.col("same") > 0) & F.col("several") & open_).alias("open")).filter("sure or open")
+    return rows.select("key", "first_id", "gram", "place", "high", "also", "n", ((F.col("same") == 0) | sure).alias("sure"), ((F.col("same") > 0) & F.col("several") & open_).alias("open")).filter("sure or open")
 
 
 CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("first_id", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("units", T.BinaryType()), T.StructField("kind", T.IntegerType())])
@@ -266,7 +277,7 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, earlier: bool
     the block, and that longer stretch is what the piece groups by. So what differs around a frequent passage falls apart into small groups.
     Beyond BURNING occurrences a piece is one window, and a group holds equal windows only. Of equal pieces in a task one moves on for all.
     """
-    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("gram", "place", "high", "n")).alias("open"))
+    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("gram", "place", "high", "also", "n")).alias("open"))
     joined = different.select("key", "text", "first_id", "copies").join(wanted, "key")
 
     def run(batches):
@@ -299,8 +310,9 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, earlier: bool
                 codes = shape.units(text)
                 kept, width = stored(text, codes)
                 raw, rolling = kept.tobytes(), None
-                for s in spots:
-                    place, low, high = s["place"], max(0, s["place"] - shape.reach + 1), s["high"]
+                for s, place in ((s, p) for s in spots for p in (s["place"], *s["also"])):
+                    # Equal contexts are as long on both sides.
+                    low, high = max(0, place - shape.reach + 1), s["high"] + place - s["place"]
                     if s["n"] <= HOT:
                         out.append([s["gram"], key, first_id, low, high, raw[low * width : high * width], LOOK])
                         size += (high - low) * width
@@ -342,8 +354,9 @@ def repeated(different: DataFrame, shape: Shape, earlier: bool, stored, width: i
     (index, low, high) of the covered ranges.
     """
     rows = judged(anchors(different, shape, earlier), frequent(different, shape), earlier)
-    sure = rows.filter("sure").select("key", F.greatest(F.col("place") - (shape.reach - 1), F.lit(0)).alias("low"), "high")
-    some = contexts(different, rows.filter("open").select("key", "gram", "place", "high", "n"), shape, earlier, stored)
+    each = rows.filter("sure").select("key", "place", "high", F.explode(F.concat(F.array("place"), "also")).alias("at"))
+    sure = each.select("key", F.greatest(F.col("at") - (shape.reach - 1), F.lit(0)).alias("low"), (F.col("high") + F.col("at") - F.col("place")).alias("high"))
+    some = contexts(different, rows.filter("open").select("key", "gram", "place", "high", "also", "n"), shape, earlier, stored)
 
     def run(batches):
         held: list[tuple] = []
