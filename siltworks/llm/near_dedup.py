@@ -28,7 +28,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, IN_BAND = 24, 3  # a linked pair shares no band with probability 3e-8 at the threshold, and less above
 HASHES, STEP, TOLERANCE = BANDS * IN_BAND, 12, 1e-6
 #: Classes and shingles of a tile (one class may have more); tiles from which on a bucket is numbered in slices.
-TILE, TILE_SHINGLES, SLICE = 512, 2_000_000, 16
+TILE, TILE_SHINGLES, SLICE = 256, 1_000_000, 32
 MULTIPLY = np.random.default_rng(9).integers(1 << 62, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 ADD = np.random.default_rng(10).integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
