@@ -259,22 +259,27 @@ def stem_odds(bags: Bags, toxic: np.ndarray, nt: int, nn: int) -> np.ndarray:
     return best
 
 
-def fitted(texts: list[str], toxic: np.ndarray, landmarks: int = 448, negatives: int = 12_000, rounds: int = 5, seed: int = 5) -> Toxicity:
-    """Trains on texts with labels, and sets the cut by texts that a first machine hasn't seen (a third, by a hash)."""
+def fitted(texts: list[str], toxic: np.ndarray, landmarks: int = 448, negatives: int = 12_000, rounds: int = 5, seed: int = 5, folds: int = 3) -> Toxicity:
+    """Trains on texts with labels. The cut is set by values that machines gave to texts which they hadn't seen: each of `folds` parts, by a
+    hash, is scored by a machine that the others trained."""
     toxic = np.asarray(toxic, float)
-    unseen = np.array([zlib.crc32(t.encode()) % 3 == 2 for t in texts], bool)
-    if unseen.any() and len(set(toxic[unseen])) == 2 and len(set(toxic[~unseen])) == 2:
-        part = _trained(Bags([t for t, u in zip(texts, unseen) if not u]), toxic[~unseen], landmarks, negatives, rounds, seed)
-        rest = Bags([t for t, u in zip(texts, unseen) if u])
-        best, y = rest.of_texts(rest.of_words(line(rest.codes, part.weights) + part.bias)), toxic[unseen]
+    fold = np.array([zlib.crc32(t.encode()) % folds for t in texts], int)
+    best = np.full(len(texts), np.nan)
+    for k in range(folds):
+        seen = fold != k
+        if seen.all() or len(set(toxic[seen])) < 2:
+            continue
+        part = _trained(Bags([t for t, s in zip(texts, seen) if s]), toxic[seen], landmarks, negatives, rounds, seed)
+        rest = Bags([t for t, s in zip(texts, seen) if not s])
+        best[~seen] = rest.of_texts(rest.of_words(line(rest.codes, part.weights) + part.bias))
         del part, rest
-        model = _trained(Bags(texts), toxic, landmarks, negatives, rounds, seed)
-    else:
-        rest = Bags(texts)
-        model = _trained(rest, toxic, landmarks, negatives, rounds, seed)
-        best, y = rest.of_texts(rest.of_words(line(rest.codes, model.weights) + model.bias)), toxic
+    bags = Bags(texts)
+    model = _trained(bags, toxic, landmarks, negatives, rounds, seed)
     if len(texts):
-        model.middle, model.slope = cutoff(best, y)
+        own = np.isnan(best)
+        if own.any():
+            best[own] = bags.of_texts(bags.of_words(line(bags.codes, model.weights) + model.bias))[own]
+        model.middle, model.slope = cutoff(best, toxic)
     return model
 
 
@@ -324,7 +329,7 @@ def _trained(bags: Bags, toxic: np.ndarray, landmarks: int, negatives: int, roun
     return model
 
 
-def cutoff(best: np.ndarray, toxic: np.ndarray, wrong: float = 5.0, blur: float = 0.1) -> tuple[float, float]:
+def cutoff(best: np.ndarray, toxic: np.ndarray, wrong: float = 3.0, blur: float = 0.1) -> tuple[float, float]:
     """The value that separates the texts with the least cost, a clean one that is rejected weighing as `wrong` toxic ones that stay, and a slope.
     Values are blurred, so that the cut keeps its distance from where many texts are."""
     v = np.clip(best, -3, 3)
