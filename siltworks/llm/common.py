@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut as cut
+from ..functions.scratch import unused
+
 #: White space and words in the sense of every operator here; other Unicode spaces are ordinary characters.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,23 +37,6 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the folder that the cluster shares and names in spark.checkpoint.dir.
-
-    Only where none is named, and the master is a local one, is it a temporary folder of this machine, which goes when Python ends. Elsewhere
-    a missing setting is an error, as other machines couldn't read such a folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="siltworks-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of a few rows, so that no more texts than these are Python objects at once."""
     for b in batches:
@@ -64,10 +46,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 def fresh(df: DataFrame, name: str) -> str:
     """A name that no column of df has."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
+    return unused(name, df)
 
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
