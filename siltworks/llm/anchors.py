@@ -265,13 +265,14 @@ def judged(found: DataFrame, hot: DataFrame, earlier: bool) -> DataFrame:
     return rows.select("key", "first_id", "gram", "place", "high", "also", "n", ((F.col("same") == 0) | sure).alias("sure"), ((F.col("same") > 0) & F.col("several") & open_).alias("open")).filter("sure or open")
 
 
-CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("first_id", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("units", T.BinaryType()), T.StructField("kind", T.IntegerType())])
+CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("first_id", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("units", T.BinaryType()), T.StructField("kind", T.IntegerType()), T.StructField("also", T.ArrayType(T.IntegerType()))])
 #: Kinds of rows: to be looked at; the same, and known to repeat; one window, of which units is a digest; the same, and known to repeat; a range that is known to repeat.
 LOOK, LOOK_MANY, ONE, ONE_MANY, RANGE_KNOWN = range(5)
 
 
 def contexts(different: DataFrame, open_: DataFrame, shape: Shape, earlier: bool, stored: Callable[[bytes, np.ndarray], tuple[np.ndarray, int]]) -> DataFrame:
-    """The units of every open context: gram, key, first_id, low and high (where it begins and ends), units, kind.
+    """The units of every open context: gram, key, first_id, low and high (where it begins and ends), units, kind, and also: where else the same
+    units begin in the same text.
 
     The context of a gram with more than HOT occurrences is cut into pieces: windows that begin within a block of BLOCK places share all but
     the block, and that longer stretch is what the piece groups by. So what differs around a frequent passage falls apart into small groups.
@@ -287,7 +288,7 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, earlier: bool
             size = 0
 
             def piece(group: int, key: bytes, first_id: int, low: int, high: int, units: bytes, kind: int) -> None:
-                row = [group, key, first_id, low, high, units, kind]
+                row = [group, key, first_id, low, high, units, kind, []]
                 at = held.setdefault((group, units), len(out))
                 if at == len(out):
                     out.append(row)
@@ -295,6 +296,9 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, earlier: bool
                 other = out[at]
                 if (key, low) == (other[1], other[3]):
                     return  # two contexts of a text hold the same place
+                if earlier and key == other[1]:
+                    other[7].append(low)
+                    return
                 if earlier and first_id == other[2]:
                     out.append(row)
                     return
@@ -302,8 +306,8 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, earlier: bool
                     out[at], row = row, other
                 elif not earlier:
                     other[6] = LOOK_MANY if kind == LOOK else ONE_MANY
-                row[0], row[5], row[6] = hash((row[1], row[3])), None, RANGE_KNOWN
-                out.append(row)
+                for at in (row[3], *row[7]):
+                    out.append([hash((row[1], at)), row[1], row[2], at, at + row[4] - row[3], None, RANGE_KNOWN, []])
 
             for key, text, first_id, spots in zip(*(b.column(c).to_pylist() for c in ("key", "text", "first_id", "open"))):
                 text = text.encode()
@@ -314,7 +318,7 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, earlier: bool
                     # Equal contexts are as long on both sides.
                     low, high = max(0, place - shape.reach + 1), s["high"] + place - s["place"]
                     if s["n"] <= HOT:
-                        out.append([s["gram"], key, first_id, low, high, raw[low * width : high * width], LOOK])
+                        out.append([s["gram"], key, first_id, low, high, raw[low * width : high * width], LOOK, []])
                         size += (high - low) * width
                         continue
                     if s["n"] > BURNING:
@@ -360,25 +364,27 @@ def repeated(different: DataFrame, shape: Shape, earlier: bool, stored, width: i
 
     def run(batches):
         held: list[tuple] = []
+        more: list[list[int]] = []
         twice: list[tuple] = []
         size, last = 0, None
 
         def done():
-            ranges = twice + [(held[i][1], a, b) for i, a, b in (engine(held) if held else ())]
-            if ranges:
-                yield _rows(RANGE, ranges)
+            ranges = twice + [(held[i][1], a + d, b + d) for i, a, b in (engine(held) if held else ()) for d in (0, *(at - held[i][3] for at in more[i]))]
+            for at in range(0, len(ranges), 200_000):
+                yield _rows(RANGE, ranges[at : at + 200_000])
             held.clear()
+            more.clear()
             twice.clear()
 
         for b in batches:
-            for gram, key, first_id, low, high, units, kind in zip(*(c.to_pylist() for c in b.columns)):
+            for gram, key, first_id, low, high, units, kind, also in zip(*(c.to_pylist() for c in b.columns)):
                 if kind in (LOOK_MANY, ONE_MANY, RANGE_KNOWN):
                     twice.append((key, low, high))
                 if kind == RANGE_KNOWN:
                     continue
                 if last and gram == last[0] and units == last[5] and (first_id > last[2] if earlier else (key, low) != (last[1], last[3])):
                     # Equal contexts are neighbours: all their windows repeat, and one stands for them.
-                    twice.append((key, low, high))
+                    twice += [(key, at, at + high - low) for at in (low, *also)]
                     if not earlier:
                         twice.append((last[1], last[3], last[4]))
                 elif kind in (ONE, ONE_MANY):
@@ -389,6 +395,7 @@ def repeated(different: DataFrame, shape: Shape, earlier: bool, stored, width: i
                         yield from done()
                         size = 0
                     held.append((gram, key, first_id, low, units))
+                    more.append(also)
                     size += len(units)
                     last = (gram, key, first_id, low, high, units)
                 if len(twice) > 100_000:
