@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from siltworks.llm.pii import luhn, mod97, pii_surrogates
 
-
 KEY = "a key"
 
 
-def replaced(spark, texts, **options):
+def replaced(spark, texts, key=KEY):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    return [r.text for r in pii_surrogates(docs, KEY, **options).orderBy("doc_id").collect()]
+    return [r.text for r in pii_surrogates(docs, key).orderBy("doc_id").collect()]
 
 
 def test_values_go_and_the_rest_stays(spark):
@@ -59,6 +58,13 @@ def test_collisions_are_drawn_again(spark):
     assert len(set(out)) == len(mails) and not set(out) & set(mails)
 
 
+def test_a_key_is_needed_and_cues_name_people(spark):
+    with pytest.raises(ValueError):
+        replaced(spark, ["a@b.example.com"], "")
+    out = replaced(spark, ["Hello, my name is Zebulon Quark. Quark it is.", "He said Zebulon Quark", "Dear All Members", "ich heiße Ötzi Übel"])
+    assert "Quark" not in out[0] and "Zebulon" not in out[0] and out[1] == "He said Zebulon Quark" and "Übel" not in out[3]
+
+
 @pytest.mark.parametrize("column", ["text", "kind"])
 def test_edges(spark, column):
     rows = [(1, None, "a"), (2, "", "b"), (3, "x" * 200_000, "c"), (None, "é1.2.3.4漢 " * 300, None), (5, "a@b.example.com", "d"), (5, "a@b.example.com", "d"), (6, "a." * 50_000 + "@" + "b." * 50_000, "e"), (7, "$1 \\ a@b.example.com $0", None)]
