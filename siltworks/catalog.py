@@ -202,14 +202,14 @@ def _stat(op: str, **args) -> tuple[Query, str]:
     step = Step("x", op, args)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
         return lower(docs, [step], annotate=True).select("doc_id", F.round("stat_x", 9).alias("stat"))
 
     return run, _doc_sql(f"round(({_SQL[op]('t', **args)})::double, 9) as stat")
 
 
 def char_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lower(docs, [Step("x", "char_repetition", {"n": 10})], annotate=True).select("doc_id", F.round("stat_x", 9).alias("stat"))
 
 
@@ -223,7 +223,7 @@ select d.doc_id as doc_id, round(coalesce(s.stat, 0.0), 9) as stat from document
 
 
 def word_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return lower(docs, [Step("x", "word_repetition", {"n": 5})], annotate=True).select("doc_id", F.round("stat_x", 9).alias("stat"))
 
 
@@ -246,7 +246,8 @@ def _steps(name: str, docs: DataFrame | None = None) -> list[Step]:
         return steps
     ops = {s.op for s in steps}
     models = {"language_score": scorers.fit_language, "perplexity": scorers.fit_words}
-    return with_args(steps, **{op: {"model": fit(docs)} for op, fit in models.items() if op in ops})
+    texts = {"language_score": docs, "perplexity": spread(docs.select("text"))}  # all words are counted, but few texts tell languages
+    return with_args(steps, **{op: {"model": fit(texts[op])} for op, fit in models.items() if op in ops})
 
 
 def _recipe(name: str) -> tuple[Query, str]:
@@ -285,7 +286,7 @@ def _model_stat(op: str, **args) -> tuple[Query, str]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents")
-        rows = lower(docs.select("doc_id", "text"), [Step("x", op, {"model": fit(docs), **args})], annotate=True)
+        rows = lower(spread(docs.select("doc_id", "text")), [Step("x", op, {"model": fit(spread(docs.select("text", "lang"))), **args})], annotate=True)
         return rows.select("doc_id", F.round("stat_x", 6).alias("stat"))
 
     ctes, at = _annotated_sql([Step("x", op, args)])
