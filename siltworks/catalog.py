@@ -394,7 +394,8 @@ def _vector(value: Callable[[Column], Column]) -> Query:
 
 
 def token_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform(F.col("embedding"), lambda v: F.floor(F.abs(v) * 1000).cast("int"))
+    # In single precision, as SQL has it: an integer factor would make it double, which floors 0.066 * 1000 to 65.
+    ids = F.transform(F.col("embedding"), lambda v: F.floor(F.abs(v) * F.lit(1000).cast("float")).cast("int"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", records.padded(records.token_ids(ids, most=254), 256).alias("x"))
     return rows.select("vec_id", F.size("x").cast("long").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"), F.get("x", F.lit(0)).cast("long").alias("bos"))
 
