@@ -333,9 +333,8 @@ def json_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    urls = pages.select("page_id", "url")
-    return readers.web(urls, pages=pages.dropDuplicates(["url"])).select("page_id", "url", F.octet_length("content").cast("long").alias("n_bytes"))
+    # Some urls were read twice, with different pages: each row has the page that was read for it.
+    return readers.web(table(spark, sf_dir, "pages"), stored="html").select("page_id", "url", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 def detection_source(spark: SparkSession, sf_dir: str) -> DataFrame:

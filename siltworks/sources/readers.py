@@ -170,13 +170,17 @@ def caption_manifest(spark: SparkSession, path: str, image_root: str | None = No
     return out
 
 
-def web(urls: DataFrame, url: str = "url", timeout: float = 10, fetch: Callable[[str, float], bytes] | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """urls with content: the bytes of each page. From a table pages (url, html) if one is given; else fetched by the executors.
+def web(urls: DataFrame, url: str = "url", timeout: float = 10, fetch: Callable[[str, float], bytes] | None = None, pages: DataFrame | None = None, stored: str | None = None) -> DataFrame:
+    """urls with content: the bytes of each page. From a table pages (url, html) if one is given; from a column `stored` of urls, which goes, if
+    the page of each row is there; else fetched by the executors.
 
-    A timeout below one second is an error. Pages that can't be had are null.
+    A timeout below one second is an error. Pages that can't be had are null. Where pages has several rows for a url, the url has a row for each;
+    only `stored` tells visits to one url apart.
     """
     if timeout < 1:
         raise RuntimeError("the timeout must be a second at least")
+    if stored is not None:
+        return urls.select(*[c for c in urls.columns if c != stored], F.encode(stored, "UTF-8").alias("content"))
     if pages is not None:
         u = unused("u", urls)
         found = pages.select(F.col("url").alias(u), F.encode("html", "UTF-8").alias("content"))
