@@ -1,8 +1,8 @@
 """Where long repeats can be: content-chosen anchors, and the few contexts around them that need a suffix structure.
 
 A text is a sequence of units (bytes or words). Winnowing chooses, among any REACH = length - gram + 1 consecutive grams, the one with the
-smallest hash, so every window of `length` units holds an anchor, and equal windows hold the same one. The context of an anchor is all that
-any such window can cover. Anchors whose gram occurs once are done with. Equal contexts, by two hashes of 64 bits, are known to repeat without looking
+smallest hash, so every window of `length` units chooses an anchor, and equal windows choose the same one. The windows that choose an anchor
+follow each other; its context is what they cover, and no window is in two contexts. Anchors whose gram occurs once are done with. Equal contexts, by two hashes of 64 bits, are known to repeat without looking
 at their text.
 Only an anchor whose gram has several different contexts is `open`: some windows around it may repeat and others not. The texts of these
 contexts, and no others, go to the suffix structure of the operator.
@@ -33,6 +33,8 @@ CHUNK, COMBINED = 400_000, 4_000_000
 HOT, BLOCK, BURNING = 2_000, 16, 20_000
 #: A gram is frequent if it is so often among a task's COMBINED units; so many of the most frequent ones are dealt into so many lanes.
 OFTEN, MOST, LANES = 8, 1_000, 1_009
+#: Bits of the part of a context that follows the place, in the number that holds both parts.
+AFTER = 16
 BYTE_CODES = np.random.default_rng(20).integers(1 << 62, 1 << 63, 256, dtype=np.uint64)
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -116,8 +118,8 @@ def chunks(texts: list[bytes], units: Callable[[bytes], np.ndarray]) -> Iterator
 
 
 def anchored(codes: np.ndarray, bounds: np.ndarray, shape: Shape, contexts: bool = True) -> tuple[np.ndarray, ...]:
-    """(text index, place, end of context, gram hash, context hash) of every anchor in joined codes; places are within the text. Without
-    contexts, their hashes are 0."""
+    """(text index, place, extent of context, gram hash, context hash) of every anchor in joined codes; places are within the text. An extent
+    is the number of units before the place, shifted by AFTER bits, and that from the place on. Without contexts, their hashes are 0."""
     k, w, n = shape.gram, shape.reach, len(codes)
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if n < shape.length:
@@ -139,15 +141,18 @@ def anchored(codes: np.ndarray, bounds: np.ndarray, shape: Shape, contexts: bool
     least, place = least[first], first - begin[first]
     place += ((least & np.uint64(0xFFFFFF)).astype(np.int64) - place) & 0xFFFFFF
     absolute = place + begin[first]
-    new = np.concatenate([[True], absolute[1:] != absolute[:-1]]) if len(absolute) else np.zeros(0, bool)
+    if not len(absolute):
+        return none
+    # A window that begins later never chooses an earlier anchor.
+    new = np.flatnonzero(np.concatenate([[True], absolute[1:] != absolute[:-1]]))
+    low, high = first[new], first[np.append(new[1:], len(first)) - 1] + shape.length
     absolute, place = absolute[new], place[new]
     t = np.searchsorted(bounds, absolute, side="right") - 1
-    low = np.maximum(bounds[t], absolute - (w - 1))
-    high = np.minimum(bounds[t + 1], absolute + shape.length)
+    extent = (absolute - low) << AFTER | (high - absolute)
     if not contexts:
-        return t, place, high - bounds[t], gram[absolute], np.zeros(len(t), np.uint64)
-    context = mixed(Rolling(codes, BASES[1]).of(low, high) ^ ((absolute - low).astype(np.uint64) << np.uint64(20)) ^ (high - absolute).astype(np.uint64))
-    return t, place, high - bounds[t], gram[absolute], context
+        return t, place, extent, gram[absolute], np.zeros(len(t), np.uint64)
+    context = mixed(Rolling(codes, BASES[1]).of(low, high) ^ extent.astype(np.uint64))
+    return t, place, extent, gram[absolute], context
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +175,7 @@ def _rows(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def stretches(b: pa.RecordBatch, shape: Shape, contexts: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row of the batch, place, end of context, gram, context) of its anchors, in arrays for about COMBINED units each."""
+    """(row of the batch, place, extent, gram, context) of its anchors, in arrays for about COMBINED units each."""
     held, size = [], 0
     for which, codes, bounds in chunks(b.column("text").cast(pa.binary()).to_pylist(), shape.units):
         t, *rest = anchored(codes, bounds, shape, contexts)
@@ -203,7 +208,7 @@ def combined(gram: np.ndarray, context: np.ndarray, first: np.ndarray, row: np.n
     return same, by
 
 
-ANCHOR = T.StructType([T.StructField("key", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("first_id", "gram", "context")], *[T.StructField(n, T.IntegerType()) for n in ("place", "high", "same")], T.StructField("also", T.ArrayType(T.IntegerType()))])
+ANCHOR = T.StructType([T.StructField("key", T.BinaryType()), *[T.StructField(n, T.LongType()) for n in ("first_id", "gram", "context")], *[T.StructField(n, T.IntegerType()) for n in ("place", "extent", "same")], T.StructField("also", T.ArrayType(T.IntegerType()))])
 FREQUENT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("often", T.LongType())])
 
 
@@ -214,7 +219,7 @@ def anchors(different: DataFrame, shape: Shape, earlier: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = b.column("first_id").to_numpy()
-            for row, place, high, gram, context in stretches(b, shape, True):
+            for row, place, extent, gram, context in stretches(b, shape, True):
                 if not len(row):
                     continue
                 first = ids[row] if earlier else np.zeros(len(row), np.int64)
@@ -225,7 +230,7 @@ def anchors(different: DataFrame, shape: Shape, earlier: bool) -> DataFrame:
                 folded = folded[np.argsort(by[folded], kind="stable")]
                 ends = np.cumsum(np.bincount(by[folded], minlength=len(by))[stays])
                 also = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(place[folded].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row[stays])), pa.array(first[stays]), *[pa.array(x[stays].view(np.int64)) for x in (gram, context)], *[pa.array(x[stays].astype(np.int32)) for x in (place, high, same)], also], schema=_arrow(ANCHOR))
+                yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(row[stays])), pa.array(first[stays]), *[pa.array(x[stays].view(np.int64)) for x in (gram, context)], *[pa.array(x[stays].astype(np.int32)) for x in (place, extent, same)], also], schema=_arrow(ANCHOR))
 
     return different.select("key", "text", "first_id", "copies").mapInArrow(run, ANCHOR)
 
@@ -262,7 +267,7 @@ def judged(found: DataFrame, hot: DataFrame, earlier: bool) -> DataFrame:
         sure, open_ = F.col("least") < F.col("first_id"), (F.col("least") == F.col("first_id")) & (F.col("turn") > 0) & (F.col("all") > 0)
     else:
         sure, open_ = (F.col("all") > 1) & (F.col("turn") > 0), (F.col("turn") == 1) & (F.col("least") <= F.col("first_id")) & (F.col("all") > 0)
-    return rows.select("key", "first_id", "gram", "place", "high", "also", "n", ((F.col("same") == 0) | sure).alias("sure"), ((F.col("same") > 0) & F.col("several") & open_).alias("open")).filter("sure or open")
+    return rows.select("key", "first_id", "gram", "place", "extent", "also", "n", ((F.col("same") == 0) | sure).alias("sure"), ((F.col("same") > 0) & F.col("several") & open_).alias("open")).filter("sure or open")
 
 
 CONTEXT = T.StructType([T.StructField("gram", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("first_id", T.LongType()), T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerType()), T.StructField("units", T.BinaryType()), T.StructField("kind", T.IntegerType()), T.StructField("also", T.ArrayType(T.IntegerType()))])
@@ -278,7 +283,7 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, earlier: bool
     the block, and that longer stretch is what the piece groups by. So what differs around a frequent passage falls apart into small groups.
     Beyond BURNING occurrences a piece is one window, and a group holds equal windows only. Of equal pieces in a task one moves on for all.
     """
-    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("gram", "place", "high", "also", "n")).alias("open"))
+    wanted = open_.groupBy("key").agg(F.collect_list(F.struct("gram", "place", "extent", "also", "n")).alias("open"))
     joined = different.select("key", "text", "first_id", "copies").join(wanted, "key")
 
     def run(batches):
@@ -316,13 +321,13 @@ def contexts(different: DataFrame, open_: DataFrame, shape: Shape, earlier: bool
                 raw, rolling = kept.tobytes(), None
                 for s, place in ((s, p) for s in spots for p in (s["place"], *s["also"])):
                     # Equal contexts are as long on both sides.
-                    low, high = max(0, place - shape.reach + 1), s["high"] + place - s["place"]
+                    low, high = place - (s["extent"] >> AFTER), place + (s["extent"] & (1 << AFTER) - 1)
                     if s["n"] <= HOT:
                         out.append([s["gram"], key, first_id, low, high, raw[low * width : high * width], LOOK, []])
                         size += (high - low) * width
                         continue
                     if s["n"] > BURNING:
-                        for begin in range(low, min(place, high - shape.length) + 1):
+                        for begin in range(low, high - shape.length + 1):
                             digest = hashlib.blake2b(raw[begin * width : (begin + shape.length) * width], digest_size=16).digest()
                             piece(int.from_bytes(digest[:8], "little", signed=True), key, first_id, begin, begin + shape.length, digest, ONE)
                         size += 2000
@@ -358,9 +363,9 @@ def repeated(different: DataFrame, shape: Shape, earlier: bool, stored, width: i
     (index, low, high) of the covered ranges.
     """
     rows = judged(anchors(different, shape, earlier), frequent(different, shape), earlier)
-    each = rows.filter("sure").select("key", "place", "high", F.explode(F.concat(F.array("place"), "also")).alias("at"))
-    sure = each.select("key", F.greatest(F.col("at") - (shape.reach - 1), F.lit(0)).alias("low"), (F.col("high") + F.col("at") - F.col("place")).alias("high"))
-    some = contexts(different, rows.filter("open").select("key", "gram", "place", "high", "also", "n"), shape, earlier, stored)
+    each = rows.filter("sure").select("key", "extent", F.explode(F.concat(F.array("place"), "also")).alias("at"))
+    sure = each.select("key", (F.col("at") - F.shiftright("extent", AFTER)).alias("low"), (F.col("at") + F.col("extent").bitwiseAND((1 << AFTER) - 1)).alias("high"))
+    some = contexts(different, rows.filter("open").select("key", "gram", "place", "extent", "also", "n"), shape, earlier, stored)
 
     def run(batches):
         held: list[tuple] = []
